@@ -21,13 +21,14 @@ Scores never change once set, so rounds only touch the *frontier*:
   edge list; written to the workspace).
 * ``state``   : per open company ``(sum w*v, sum w, open edge count)`` over
   the edges resolved so far.
-* ``pending`` : edges still lacking a score.
+* ``pending`` : edges without a seed score (fixed; never rewritten).
 
 Round k joins the pending edges with the companies completed in round k-1
-(only those), aggregates the matches per company into the state, and emits
-the companies whose open count reaches zero.  Every round's tables are
-written under the checkpoint folder, so the plan of a round never contains
-earlier rounds, and the loop stops early on an empty frontier.
+(only those), aggregates the matches per company into the state of the
+open companies, and so closes the companies whose open count reaches zero.
+Each round writes one table (the new state) under the checkpoint folder, so
+the plan of a round never contains earlier rounds; the loop stops early on
+an empty frontier.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ VALUE = "Value"
 ITER = "iterations"
 
 
+def _score():
+    """Capital-weighted mean; NULL for a zero capital total."""
+    return F.try_divide(F.col("swv"), F.col("sw"))
+
+
 def require_unique(df: DataFrame, key: str, what: str) -> None:
     """Fail when ``key`` repeats: a repeated seed id would fan out edges."""
     dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -117,39 +123,25 @@ def run_opacity(
             (F.count(F.lit(1)) - F.count(v)).alias("n_open"),
         ),
         "state",
-        "r0",
+        f"{ITER}=0",
     )
-
-    def emit(st: DataFrame, k: int) -> DataFrame:
-        done = st.filter(F.col("n_open") == 0).select(
-            F.col(S.COMPANY).alias(S.TAXPAYER),
-            F.try_divide(F.col("swv"), F.col("sw")).alias(VALUE),
-        )
-        return ws.materialize(done, "completed", f"{ITER}={k}")
-
-    frontier = emit(state, 0)
-    open_state = state.filter(F.col("n_open") > 0)
-    # NULL owners never match a score: their edges keep the company open
-    # through n_open and need not travel through the rounds.
+    # Edges without a seed score.  Each is resolved exactly once: in the
+    # round after its owner completes.  So round k only joins this fixed
+    # set with the companies completed in round k-1, and nothing about the
+    # edges has to be rewritten between rounds.  NULL owners never match a
+    # score: their edges keep the company open through n_open only.
     pending = scored.filter(v.isNull() & F.col(S.OWNER).isNotNull()).select(
         S.COMPANY, S.OWNER, S.CAPITAL
     )
 
     for k in range(1, max_rounds + 1):
-        known = frontier.filter(F.col(VALUE).isNotNull()).select(
-            F.col(S.TAXPAYER).alias("_o"), F.col(VALUE).alias("_V")
+        known = state.filter((F.col("n_open") == 0) & (F.col("sw") != 0)).select(
+            F.col(S.COMPANY).alias("_o"), _score().alias("_V")
         )
         if known.isEmpty():
             break
-        matched = ws.materialize(
-            pending.join(known, pending[S.OWNER] == known["_o"], "left").select(
-                S.COMPANY, S.OWNER, S.CAPITAL, "_V"
-            ),
-            "pending",
-            f"r{k}",
-        )
         delta = (
-            matched.filter(F.col("_V").isNotNull())
+            pending.join(known, pending[S.OWNER] == known["_o"])
             .groupBy(S.COMPANY)
             .agg(
                 F.sum(cap * F.col("_V")).alias("dwv"),
@@ -157,19 +149,21 @@ def run_opacity(
                 F.count(F.lit(1)).alias("dn"),
             )
         )
+        open_state = state.filter(F.col("n_open") > 0)
         updated = open_state.join(delta, S.COMPANY, "left").select(
             S.COMPANY,
             (F.col("swv") + F.coalesce(F.col("dwv"), F.lit(0.0))).alias("swv"),
             (F.col("sw") + F.coalesce(F.col("dw"), F.lit(0.0))).alias("sw"),
             (F.col("n_open") - F.coalesce(F.col("dn"), F.lit(0))).alias("n_open"),
         )
-        state = ws.materialize(updated, "state", f"r{k}")
-        frontier = emit(state, k)
-        open_state = state.filter(F.col("n_open") > 0)
-        pending = matched.filter(F.col("_V").isNull()).select(S.COMPANY, S.OWNER, S.CAPITAL)
-
-    companies = ws.read("completed").select(
-        S.TAXPAYER, VALUE, F.col(ITER).cast("int").alias(ITER)
+        state = ws.materialize(updated, "state", f"{ITER}={k}")
+
+    # A company is closed (n_open = 0) in exactly one round's state table.
+    companies = (
+        ws.read("state")
+        .filter(F.col("n_open") == 0)
+        .select(F.col(S.COMPANY).alias(S.TAXPAYER), _score().alias(VALUE),
+                F.col(ITER).cast("int").alias(ITER))
     )
     return OpacityRun(ws, scored, companies, max_rounds)
 

@@ -56,7 +56,8 @@ class Workspace:
         """Write ``df`` as parquet at ``parts`` and return the re-read table."""
         target = self.path(*parts)
         df.write.mode("overwrite").parquet(target)
-        return self.spark.read.parquet(target)
+        # The schema is known: skip footer inference on the read-back.
+        return self.spark.read.schema(df.schema).parquet(target)
 
     def read(self, *parts: str) -> DataFrame:
         return self.spark.read.parquet(self.path(*parts))
