@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meshscope.functions.columns import decimal_text
 from meshscope.sources import schemas as S
 
 
 def conform(df: DataFrame, schema: T.StructType, strict: bool = True) -> DataFrame:
     """Select and cast ``df`` to ``schema``.
 
-    String columns are trimmed of nothing and kept as is; numeric columns
-    coming from text accept a decimal comma.  With ``strict`` an unparsable
+    String columns are kept as they are; numeric columns coming from text
+    are trimmed and accept a decimal comma.  With ``strict`` an unparsable
     number raises (ANSI cast); otherwise it becomes NULL.
     """
     renamed = df
@@ -38,9 +39,8 @@ def conform(df: DataFrame, schema: T.StructType, strict: bool = True) -> DataFra
             cols.append(c)
             continue
         if isinstance(src, T.StringType) and isinstance(field.dataType, T.NumericType):
-            c = F.regexp_replace(F.trim(c), ",", ".")
-            c = F.when(c == "", F.lit(None)).otherwise(c)
-        cast = c.cast(field.dataType) if strict else F.try_cast(c, field.dataType.simpleString())
+            c = decimal_text(c)
+        cast = c.cast(field.dataType) if strict else c.try_cast(field.dataType)
         cols.append(cast.alias(field.name))
     return renamed.select(*cols)
 
