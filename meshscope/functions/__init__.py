@@ -1,0 +1 @@
+"""Column expressions and scalar helpers shared by operators."""

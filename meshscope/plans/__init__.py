@@ -1,0 +1 @@
+"""Iteration machinery, the query registry and its oracle SQL."""

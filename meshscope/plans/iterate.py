@@ -62,6 +62,13 @@ class Workspace:
     def read(self, *parts: str) -> DataFrame:
         return self.spark.read.parquet(self.path(*parts))
 
+    def cleanup(self) -> None:
+        """Delete the run folder (call once the results have been consumed)."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(conf).delete(path, True)
+
 
 def is_empty(df: DataFrame) -> bool:
     """Frontier test: reads at most one row."""

@@ -1,0 +1 @@
+"""Sources and sinks: declared schemas, readers, writers, derived test tables."""

@@ -1,0 +1,6 @@
+"""Streaming: nothing to build.
+
+The reference analyses static snapshots of ownership and family tables; it
+has no stream source, watermark, windowed aggregation or stateful operator.
+This package is kept so the layout stays uniform.
+"""
