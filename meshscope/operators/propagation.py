@@ -21,7 +21,8 @@ Scores never change once set, so rounds only touch the *frontier*:
   edge list; written to the workspace).
 * ``state``   : per open company ``(sum w*v, sum w, open edge count)`` over
   the edges resolved so far.
-* ``pending`` : edges without a seed score (fixed; never rewritten).
+* ``pending`` : edges without a seed score (fixed; written once, bucketed
+  on the owner id so no round re-shuffles it).
 
 Round k joins the pending edges with the companies completed in round k-1
 (only those), aggregates the matches per company into the state of the
@@ -130,8 +131,12 @@ def run_opacity(
     # set with the companies completed in round k-1, and nothing about the
     # edges has to be rewritten between rounds.  NULL owners never match a
     # score: their edges keep the company open through n_open only.
-    pending = scored.filter(v.isNull() & F.col(S.OWNER).isNotNull()).select(
-        S.COMPANY, S.OWNER, S.CAPITAL
+    pending = ws.materialize_bucketed(
+        scored.filter(v.isNull() & F.col(S.OWNER).isNotNull()).select(
+            S.COMPANY, S.OWNER, S.CAPITAL
+        ),
+        "pending",
+        S.OWNER,
     )
 
     for k in range(1, max_rounds + 1):

@@ -48,6 +48,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/meshscope/{name}-{uuid.uuid4().hex[:12]}"
+        self._tables: list[str] = []
 
     def path(self, *parts: str) -> str:
         return "/".join((self.root,) + parts)
@@ -59,11 +60,37 @@ class Workspace:
         # The schema is known: skip footer inference on the read-back.
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def materialize_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Write ``df`` hash-bucketed on ``key`` and return it as a table.
+
+        For a table joined on ``key`` in every round: the bucketed scan
+        already has the join's partitioning, so each round shuffles only
+        the other side (or broadcasts it when it is small) instead of
+        re-shuffling this table.  The bucket count follows
+        ``spark.sql.shuffle.partitions`` so the other side's exchange lines
+        up with it.  The table is registered in the session catalog with its
+        data in the run folder.
+        """
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"meshscope_{self.root.rsplit('-', 1)[-1]}_{name}"
+        self._tables.append(table)
+        (
+            df.repartition(buckets, key)
+            .write.mode("overwrite")
+            .bucketBy(buckets, key)
+            .sortBy(key)
+            .option("path", self.path(name))
+            .saveAsTable(table)
+        )
+        return self.spark.table(table)
+
     def read(self, *parts: str) -> DataFrame:
         return self.spark.read.parquet(self.path(*parts))
 
     def cleanup(self) -> None:
         """Delete the run folder (call once the results have been consumed)."""
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.root)
