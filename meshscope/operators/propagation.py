@@ -117,14 +117,18 @@ def run_opacity(
     )
 
     cap, v = F.col(S.CAPITAL), F.col("v")
-    state = ws.materialize(
+    # A round's frontier: companies it closed with a defined value.  Counted
+    # while the round's state is written, so no extra job decides whether
+    # the loop continues.
+    closed = F.count_if((F.col("n_open") == 0) & (F.col("sw") != 0))
+    state, seen = ws.materialize_observed(
         scored.groupBy(S.COMPANY).agg(
             F.coalesce(F.sum(cap * v), F.lit(0.0)).alias("swv"),
             F.coalesce(F.sum(F.when(v.isNotNull(), cap)), F.lit(0.0)).alias("sw"),
             (F.count(F.lit(1)) - F.count(v)).alias("n_open"),
         ),
-        "state",
-        f"{ITER}=0",
+        ("state", f"{ITER}=0"),
+        closed=closed,
     )
     # Edges without a seed score.  Each is resolved exactly once: in the
     # round after its owner completes.  So round k only joins this fixed
@@ -140,11 +144,11 @@ def run_opacity(
     )
 
     for k in range(1, max_rounds + 1):
+        if not seen["closed"]:
+            break
         known = state.filter((F.col("n_open") == 0) & (F.col("sw") != 0)).select(
             F.col(S.COMPANY).alias("_o"), _score().alias("_V")
         )
-        if known.isEmpty():
-            break
         delta = (
             pending.join(known, pending[S.OWNER] == known["_o"])
             .groupBy(S.COMPANY)
@@ -161,7 +165,7 @@ def run_opacity(
             (F.col("sw") + F.coalesce(F.col("dw"), F.lit(0.0))).alias("sw"),
             (F.col("n_open") - F.coalesce(F.col("dn"), F.lit(0))).alias("n_open"),
         )
-        state = ws.materialize(updated, "state", f"{ITER}={k}")
+        state, seen = ws.materialize_observed(updated, ("state", f"{ITER}={k}"), closed=closed)
 
     # A company is closed (n_open = 0) in exactly one round's state table.
     companies = (

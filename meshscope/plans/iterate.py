@@ -14,7 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -60,6 +60,21 @@ class Workspace:
         # The schema is known: skip footer inference on the read-back.
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def materialize_observed(
+        self, df: DataFrame, parts: tuple[str, ...], **metrics: Column
+    ) -> tuple[DataFrame, dict]:
+        """``materialize`` plus aggregate metrics computed in the same job.
+
+        The loops use it for their frontier test (how many rows stay
+        active), so no round needs a separate action to decide whether to
+        continue.
+        """
+        target = self.path(*parts)
+        obs = Observation(f"meshscope_{uuid.uuid4().hex[:8]}")
+        observed = df.observe(obs, *[m.alias(k) for k, m in metrics.items()])
+        observed.write.mode("overwrite").parquet(target)
+        return self.spark.read.schema(df.schema).parquet(target), obs.get
+
     def materialize_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """Write ``df`` hash-bucketed on ``key`` and return it as a table.
 
