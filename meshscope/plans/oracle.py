@@ -164,10 +164,13 @@ related AS (
 )"""
 
 
-def _closure_ctes(hops: int = 4) -> str:
+def _closure_ctes(hops: int = 4, exclude: str | None = None) -> str:
+    cond = "CONT_RUT IS NOT NULL AND RUT_FAM IS NOT NULL"
+    if exclude is not None:
+        cond += f" AND NOT starts_with(CONT_RUT, '{exclude}') AND NOT starts_with(RUT_FAM, '{exclude}')"
     parts = [
-        """st AS (
-  SELECT DISTINCT CONT_RUT AS a, RUT_FAM AS b FROM family WHERE CONT_RUT IS NOT NULL AND RUT_FAM IS NOT NULL
+        f"""st AS (
+  SELECT DISTINCT CONT_RUT AS a, RUT_FAM AS b FROM family WHERE {cond}
 ),
 l1 AS (SELECT a, b FROM st)"""
     ]
@@ -244,7 +247,36 @@ def oracle_sql() -> dict[str, str]:
     owners = _with(_owner_ctes())
     fam_all = _with(_owner_ctes(), RELATIONS)
     closure = _with(_closure_ctes(4))
+    closure2 = _with(_closure_ctes(2, R.CLOSURE_EXCLUDE))
+    small = _with(_owner_ctes(max_pool=R.SMALL_POOL), RELATIONS)
     sql = {
+        "clean_edges_profit": _with() + f"SELECT {EDGE_COLS} FROM dedup WHERE PORCENTAJE_UTILIDADES <> 0",
+        "clean_edges_no_anomalies": _with()
+        + f"""SELECT {EDGE_COLS} FROM clean c WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT RUT_SOCIEDAD, sum(PORCENTAJE_CAPITAL) AS t FROM dedup GROUP BY RUT_SOCIEDAD) a
+  WHERE a.RUT_SOCIEDAD = c.RUT_SOCIEDAD AND (a.t > 105 OR a.t < 95))""",
+        "opacity_edges_filled": opa
+        + f"""SELECT e.RUT_SOCIEDAD, e.RUT_SOCIO, {_r6('e.w', 'PORCENTAJE_CAPITAL')},
+       {_r6('coalesce(e.v, p.V)', 'Valor')} FROM e LEFT JOIN r9 p ON e.RUT_SOCIO = p.c""",
+        "opacity_index_notebook_rounds": _with(_opacity_ctes(R.NOTEBOOK_ROUNDS))
+        + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res",
+        "owner_pool_small": _with(_owner_ctes(max_pool=R.SMALL_POOL))
+        + "SELECT RUT_SOCIEDAD, TOTAL, NONULOS, eligible FROM pool_flag",
+        "companies_per_person_distinct": owners
+        + "SELECT CONT_RUT, CAST(count(*) AS BIGINT) AS SOCIEDADES_RELACIONADAS FROM uo "
+        "WHERE CONT_RUT IS NOT NULL GROUP BY CONT_RUT",
+        "family_index_variant": small
+        + f""", fc AS (
+  SELECT RUT_SOCIEDAD, count(DISTINCT RUT_SOCIO_1) AS FAMILIARES FROM related GROUP BY RUT_SOCIEDAD
+),
+sizes AS (SELECT RUT_SOCIEDAD, count(CONT_RUT) AS TOTAL FROM uo GROUP BY RUT_SOCIEDAD)
+SELECT s.RUT_SOCIEDAD, CAST(fc.FAMILIARES AS BIGINT) AS FAMILIARES, CAST(s.TOTAL AS BIGINT) AS TOTAL,
+       {_r6('CAST(fc.FAMILIARES AS DOUBLE) / s.TOTAL * 100', 'TASA_FAMILIARIDAD')}, p.eligible
+FROM sizes s JOIN pool_flag p ON s.RUT_SOCIEDAD = p.RUT_SOCIEDAD
+LEFT JOIN fc ON s.RUT_SOCIEDAD = fc.RUT_SOCIEDAD""",
+        "family_closure_two_hops": closure2
+        + """SELECT DISTINCT CONT_RUT, RUT_FAM FROM (
+  SELECT a AS CONT_RUT, b AS RUT_FAM FROM lv UNION ALL SELECT b, a FROM lv)""",
         "load_edges": _with() + f"SELECT {EDGE_COLS} FROM ownership",
         "write_round_trip": _with() + f"SELECT {EDGE_COLS} FROM clean",
         "clean_edges": _with() + f"SELECT {EDGE_COLS} FROM clean",

@@ -33,6 +33,9 @@ LOOKUP_ID = "O241"
 EGO_ENTITIES = ["O240", "O241", "S1"]
 HIGH_THRESHOLD = 0.75
 TOP_K = 20
+SMALL_POOL = 30
+NOTEBOOK_ROUNDS = 5
+CLOSURE_EXCLUDE = "C"
 
 
 ROUND_NUDGE = 1e-12
@@ -62,6 +65,10 @@ def _companies(spark, d) -> DataFrame:
     return _opacity(spark, d).companies
 
 
+def _opacity_rounds(spark, d, max_rounds) -> prop.OpacityRun:
+    return prop.run_opacity(_clean(spark, d), fixture.seed(spark, d), max_rounds=max_rounds)
+
+
 def _owners(spark, d) -> DataFrame:
     return own.ultimate_owners(_clean(spark, d), fixture.seed(spark, d))
 
@@ -100,6 +107,14 @@ def clean_edges(spark, d):
     return _clean(spark, d)
 
 
+def clean_edges_profit(spark, d):
+    return q.clean_edges(_raw(spark, d), share="profit")
+
+
+def clean_edges_no_anomalies(spark, d):
+    return q.clean_edges(_raw(spark, d), filter_anomalous=True, lo=95.0, hi=105.0)
+
+
 def null_share_rows(spark, d):
     return q.null_share_rows(_raw(spark, d))
 
@@ -156,6 +171,16 @@ def opacity_edges(spark, d):
     return _opacity(spark, d).edges().select(S.COMPANY, S.OWNER, _r6(S.CAPITAL), _r6(S.SEED_VALUE))
 
 
+def opacity_edges_filled(spark, d):
+    return _opacity(spark, d).edges(fill_last_round=True).select(
+        S.COMPANY, S.OWNER, _r6(S.CAPITAL), _r6(S.SEED_VALUE))
+
+
+def opacity_index_notebook_rounds(spark, d):
+    return _opacity_rounds(spark, d, NOTEBOOK_ROUNDS).companies.select(
+        S.TAXPAYER, _r6(prop.VALUE), prop.ITER)
+
+
 def incomplete_companies(spark, d):
     return prop.incomplete_companies(_opacity(spark, d).edges())
 
@@ -182,6 +207,14 @@ def owner_pool(spark, d):
     return own.owner_pool(_owners(spark, d))
 
 
+def owner_pool_small(spark, d):
+    return own.owner_pool(_owners(spark, d), max_pool=SMALL_POOL)
+
+
+def companies_per_person_distinct(spark, d):
+    return own.companies_per_person(_owners(spark, d), distinct=True)
+
+
 def co_owner_pairs(spark, d):
     owners = _owners(spark, d)
     members = own.pool_members(owners, own.owner_pool(owners))
@@ -211,6 +244,18 @@ def family_index(spark, d):
     return out.select(S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"))
 
 
+def family_index_variant(spark, d):
+    out = fam.family_index(_owners(spark, d), _relations(spark, d), max_pool=SMALL_POOL,
+                           unrelated_fill="null", distinct_pool=True, with_eligible=True)
+    return out.select(S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"), "eligible")
+
+
+def family_closure_two_hops(spark, d):
+    levels = fam.family_closure_levels(fixture.family(spark, d), hops=2,
+                                       exclude_prefix=CLOSURE_EXCLUDE)
+    return fam.family_closure(levels)
+
+
 def relation_types(spark, d):
     return fam.relation_types(fixture.family(spark, d))
 
@@ -271,6 +316,8 @@ QUERIES: dict[str, Query] = {
     "load_edges": load_edges,
     "write_round_trip": write_round_trip,
     "clean_edges": clean_edges,
+    "clean_edges_profit": clean_edges_profit,
+    "clean_edges_no_anomalies": clean_edges_no_anomalies,
     "null_share_rows": null_share_rows,
     "zero_share_profile": zero_share_profile,
     "out_of_range_shares": out_of_range_shares,
@@ -284,17 +331,23 @@ QUERIES: dict[str, Query] = {
     "group_coverage": group_coverage,
     "opacity_index": opacity_index,
     "opacity_edges": opacity_edges,
+    "opacity_edges_filled": opacity_edges_filled,
+    "opacity_index_notebook_rounds": opacity_index_notebook_rounds,
     "incomplete_companies": incomplete_companies,
     "single_owner_check": single_owner_check,
     "ultimate_owners": ultimate_owners,
     "companies_per_person": companies_per_person,
     "owner_pool": owner_pool,
+    "owner_pool_small": owner_pool_small,
+    "companies_per_person_distinct": companies_per_person_distinct,
     "co_owner_pairs": co_owner_pairs,
     "ego_network": ego_network,
     "family_relations": family_relations,
     "family_closure": family_closure,
     "family_closure_sizes": family_closure_sizes,
     "family_index": family_index,
+    "family_index_variant": family_index_variant,
+    "family_closure_two_hops": family_closure_two_hops,
     "relation_types": relation_types,
     "relative_degree": relative_degree,
     "describe_scores": describe_scores,

@@ -28,6 +28,9 @@ def write_table(
         writer = writer.partitionBy(*partition_by)
     if fmt == "parquet":
         writer.parquet(path)
+    elif fmt == "table":
+        # ``path`` is a catalog table name here.
+        writer.format("parquet").saveAsTable(path)
     elif fmt == "csv":
         writer.option("header", header).option("sep", sep).csv(path)
     else:
