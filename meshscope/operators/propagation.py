@@ -22,7 +22,8 @@ Scores never change once set, so rounds only touch the *frontier*:
 * ``state``   : per open company ``(sum w*v, sum w, open edge count)`` over
   the edges resolved so far.
 * ``pending`` : edges without a seed score (fixed; written once, bucketed
-  on the owner id so no round re-shuffles it).
+  on the owner id so no round re-shuffles it; an owner holding more than a
+  fair share of them is salted over several buckets).
 
 Round k joins the pending edges with the companies completed in round k-1
 (only those), aggregates the matches per company into the state of the
@@ -104,6 +105,7 @@ def run_opacity(
     max_rounds: int = 9,
     on_duplicate: str = "fail",
     workspace: Workspace | None = None,
+    hot_rows: int | None = None,
 ) -> OpacityRun:
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, "opacity")
@@ -140,7 +142,9 @@ def run_opacity(
             S.COMPANY, S.OWNER, S.CAPITAL
         ),
         "pending",
-        S.OWNER,
+        key=S.OWNER,
+        spread=S.COMPANY,
+        hot_rows=hot_rows,
     )
 
     for k in range(1, max_rounds + 1):
@@ -150,7 +154,7 @@ def run_opacity(
             F.col(S.COMPANY).alias("_o"), _score().alias("_V")
         )
         delta = (
-            pending.join(known, pending[S.OWNER] == known["_o"])
+            pending.join(known, "_o")
             .groupBy(S.COMPANY)
             .agg(
                 F.sum(cap * F.col("_V")).alias("dwv"),

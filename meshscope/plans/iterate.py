@@ -14,7 +14,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -75,29 +78,52 @@ class Workspace:
         observed.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target), obs.get
 
-    def materialize_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """Write ``df`` hash-bucketed on ``key`` and return it as a table.
-
-        For a table joined on ``key`` in every round: the bucketed scan
-        already has the join's partitioning, so each round shuffles only
-        the other side (or broadcasts it when it is small) instead of
-        re-shuffling this table.  The bucket count follows
-        ``spark.sql.shuffle.partitions`` so the other side's exchange lines
-        up with it.  The table is registered in the session catalog with its
-        data in the run folder.
+    def materialize_bucketed(
+        self, df: DataFrame, name: str, key: str, spread: str, hot_rows: int | None = None
+    ) -> "SaltedTable":
+        """Write ``df`` bucketed on ``(key, _salt)`` for a join repeated every round.
+
+        The bucketed scan already has the join's partitioning, so each
+        round shuffles only the other side (or broadcasts it when small)
+        instead of re-shuffling this table.  A bucketed scan cannot be split
+        by AQE's skew handling, so hot keys are salted up front: a key
+        holding more than a fair share of rows (``rows / buckets``, or
+        ``hot_rows``) gets ``ceil(count / share)`` salts (at most one per
+        bucket) chosen by a hash of ``spread``; all other keys get salt 0.
+        Fewer than ``buckets`` keys can exceed a fair share, so the hot-key
+        table is small by construction and is broadcast.  The bucket count
+        follows ``spark.sql.shuffle.partitions`` so the other side's exchange
+        lines up with it.  The table lives in the run folder and is
+        registered in the session catalog.
         """
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        share = hot_rows or max(1, -(-total // buckets))
+        hot = self.materialize(
+            counts.filter(F.col("_n") > share).select(
+                F.col(key).alias("_hot"),
+                F.least(F.lit(buckets), F.ceil(F.col("_n") / F.lit(share))).cast("int").alias("_f"),
+            ),
+            f"{name}_hot",
+        )
+        salted = df.join(F.broadcast(hot), df[key] == hot["_hot"], "left").select(
+            *df.columns,
+            F.when(F.col("_f").isNull(), F.lit(0))
+            .otherwise(F.pmod(F.hash(F.col(spread)), F.col("_f")))
+            .alias("_salt"),
+        )
         table = f"meshscope_{self.root.rsplit('-', 1)[-1]}_{name}"
         self._tables.append(table)
         (
-            df.repartition(buckets, key)
+            salted.repartition(buckets, key, "_salt")
             .write.mode("overwrite")
-            .bucketBy(buckets, key)
-            .sortBy(key)
+            .bucketBy(buckets, key, "_salt")
+            .sortBy(key, "_salt")
             .option("path", self.path(name))
             .saveAsTable(table)
         )
-        return self.spark.table(table)
+        return SaltedTable(self.spark.table(table), hot, key)
 
     def read(self, *parts: str) -> DataFrame:
         return self.spark.read.parquet(self.path(*parts))
@@ -115,3 +141,26 @@ class Workspace:
 def is_empty(df: DataFrame) -> bool:
     """Frontier test: reads at most one row."""
     return df.isEmpty()
+
+
+@dataclass
+class SaltedTable:
+    """A bucketed table with salted hot keys, and how to join it."""
+
+    table: DataFrame
+    hot: DataFrame  # (_hot, _f): hot keys and their salt counts
+    key: str
+
+    def join(self, other: DataFrame, other_key: str) -> DataFrame:
+        """Inner join with ``other`` on ``table[key] == other[other_key]``.
+
+        ``other`` rows whose key is hot are repeated once per salt, so each
+        salt slice of a hot key meets every matching row exactly once.
+        """
+        salts = F.sequence(F.lit(0), F.coalesce(F.col("_f"), F.lit(1)) - 1)
+        spread = other.join(F.broadcast(self.hot), other[other_key] == self.hot["_hot"], "left")
+        spread = spread.select(*other.columns, F.explode(salts).alias("_osalt"))
+        t = self.table
+        return t.join(
+            spread, (t[self.key] == spread[other_key]) & (t["_salt"] == spread["_osalt"])
+        ).drop("_salt", "_osalt")
