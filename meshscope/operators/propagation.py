@@ -53,21 +53,29 @@ def _score():
     return F.try_divide(F.col("swv"), F.col("sw"))
 
 
-def require_unique(df: DataFrame, key: str, what: str) -> None:
-    """Fail when ``key`` repeats: a repeated seed id would fan out edges."""
-    dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    if not dup.isEmpty():
-        example = dup.select(key).first()[0]
-        raise ValueError(f"{what} has repeated {key} values, e.g. {example!r}")
-
-
-def _seed_scores(seed: DataFrame, on_duplicate: str) -> DataFrame:
-    s = seed.select(S.TAXPAYER, S.SEED_VALUE)
-    if on_duplicate == "fail":
-        require_unique(s, S.TAXPAYER, "seed")
-    elif on_duplicate != "trust":
+def unique_seed(seed: DataFrame, on_duplicate: str = "fail") -> DataFrame:
+    """Seed scores keyed by a unique, non-NULL ``CONT_RUT``.
+
+    A repeated id would fan out every edge it owns.  With ``'fail'`` the
+    check runs inside the consuming job: the seed is grouped by id (the
+    partitioning its join needs anyway) and a repeated id raises there, so
+    no separate pass over the seed is made.  ``'trust'`` skips the check.
+    NULL ids are dropped: they can never match an owner.
+    """
+    s = seed.select(S.TAXPAYER, S.SEED_VALUE).filter(F.col(S.TAXPAYER).isNotNull())
+    if on_duplicate == "trust":
+        return s
+    if on_duplicate != "fail":
         raise ValueError("on_duplicate must be 'fail' or 'trust'")
-    return s
+    g = s.groupBy(S.TAXPAYER).agg(
+        F.count(F.lit(1)).alias("_n"), F.first(S.SEED_VALUE).alias(S.SEED_VALUE)
+    )
+    message = F.concat(F.lit("seed has repeated CONT_RUT values, e.g. "), F.col(S.TAXPAYER))
+    # A filter predicate, so the check survives column pruning when only
+    # the ids are consumed.
+    return g.filter(F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.lit(True))).select(
+        S.TAXPAYER, S.SEED_VALUE
+    )
 
 
 @dataclass
@@ -109,7 +117,7 @@ def run_opacity(
 ) -> OpacityRun:
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, "opacity")
-    s = _seed_scores(seed, on_duplicate)
+    s = unique_seed(seed, on_duplicate)
     w = pair_means(edges)
     scored = ws.materialize(
         w.join(s, w[S.OWNER] == s[S.TAXPAYER], "left").select(

@@ -21,10 +21,11 @@ def edges_df(spark, rows):
 def test_duplicate_seed_fails(spark):
     e = edges_df(spark, [("A", "p1", 100.0)])
     seed = spark.createDataFrame([("p1", 0.1), ("p1", 0.2)], "CONT_RUT string, Valor double")
-    with pytest.raises(ValueError, match="repeated"):
-        propagation.opacity_index(e, seed)
-    with pytest.raises(ValueError, match="repeated"):
-        ownership.ultimate_owners(e, seed)
+    # The check runs inside the first job that joins the seed.
+    with pytest.raises(Exception, match="repeated CONT_RUT"):
+        propagation.opacity_index(e, seed).collect()
+    with pytest.raises(Exception, match="repeated CONT_RUT"):
+        ownership.ultimate_owners(e, seed).collect()
 
 
 def test_zero_capital_total_is_null(spark):
