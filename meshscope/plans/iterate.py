@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_PER_BUCKET = 100_000  # rows of a bucketed round table per bucket
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -88,22 +91,25 @@ class Workspace:
         instead of re-shuffling this table.  A bucketed scan cannot be split
         by AQE's skew handling, so hot keys are salted up front: a key
         holding more than a fair share of rows (``rows / buckets``, or
-        ``hot_rows``) gets ``ceil(count / share)`` salts (at most one per
-        bucket) chosen by a hash of ``spread``; all other keys get salt 0.
-        Fewer than ``buckets`` keys can exceed a fair share, so the hot-key
-        table is small by construction and is broadcast.  The bucket count
-        follows ``spark.sql.shuffle.partitions`` so the other side's exchange
-        lines up with it.  The table lives in the run folder and is
-        registered in the session catalog.
+        ``hot_rows``) gets ``ceil(count / share)`` salts (at most
+        ``spark.sql.shuffle.partitions``) chosen by a hash of ``spread``; all
+        other keys get salt 0.  Fewer than ``buckets`` keys can exceed a fair
+        share, so the hot-key table is small by construction and is
+        broadcast.  There is one bucket per ``ROWS_PER_BUCKET`` rows, at most
+        ``spark.sql.shuffle.partitions``; the other side of a join is
+        shuffled into the same number of partitions.  The table lives in the
+        run folder and is registered in the session catalog.
         """
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
         total = counts.agg(F.sum("_n")).first()[0] or 0
+        # Buckets follow the table's size, at most one per shuffle partition.
+        limit = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, min(limit, -(-total // ROWS_PER_BUCKET)))
         share = hot_rows or max(1, -(-total // buckets))
         hot = self.materialize(
             counts.filter(F.col("_n") > share).select(
                 F.col(key).alias("_hot"),
-                F.least(F.lit(buckets), F.ceil(F.col("_n") / F.lit(share))).cast("int").alias("_f"),
+                F.least(F.lit(limit), F.ceil(F.col("_n") / F.lit(share))).cast("int").alias("_f"),
             ),
             f"{name}_hot",
         )
