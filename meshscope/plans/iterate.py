@@ -144,11 +144,6 @@ class Workspace:
         path.getFileSystem(conf).delete(path, True)
 
 
-def is_empty(df: DataFrame) -> bool:
-    """Frontier test: reads at most one row."""
-    return df.isEmpty()
-
-
 @dataclass
 class SaltedTable:
     """A bucketed table with salted hot keys, and how to join it."""
