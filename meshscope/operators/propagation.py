@@ -115,6 +115,12 @@ def run_opacity(
     workspace: Workspace | None = None,
     hot_rows: int | None = None,
 ) -> OpacityRun:
+    """Run the frontier rounds; return the written tables (see module doc).
+
+    ``edges`` are clean edges (O-03), ``seed`` person scores.  ``hot_rows``
+    overrides the fair-share threshold above which an owner's pending edges
+    are salted (tests use it to force salting).
+    """
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, "opacity")
     s = unique_seed(seed, on_duplicate)
