@@ -10,6 +10,7 @@ registered queries.
 
 from __future__ import annotations
 
+from meshscope.operators.report import BIN_DIGITS
 from meshscope.plans import registry as R
 
 
@@ -196,7 +197,7 @@ def _r6(expr: str, name: str) -> str:
 def _hist_sql(column: str, bins: int, where: str = "TRUE") -> str:
     width = "((b.hi - b.lo) / " + str(bins) + ")"
     return _with(_opacity_ctes()) + f""", vals AS (
-  SELECT CAST({column} AS DOUBLE) AS v FROM res WHERE {column} IS NOT NULL AND {where}
+  SELECT round(CAST({column} AS DOUBLE), {BIN_DIGITS}) AS v FROM res WHERE {column} IS NOT NULL AND {where}
 ),
 b AS (SELECT min(v) AS lo, max(v) AS hi FROM vals),
 binned AS (
@@ -394,7 +395,7 @@ FROM scored_edges""",
         "iterations_histogram": _hist_sql("iterations", 10),
         "high_score_histogram": _hist_sql("Value", 10, f"Value >= {R.HIGH_THRESHOLD}"),
         "score_by_round": opa
-        + """, vals AS (SELECT Value AS v, iterations FROM res WHERE Value IS NOT NULL),
+        + f""", vals AS (SELECT round(Value, {BIN_DIGITS}) AS v, iterations FROM res WHERE Value IS NOT NULL),
 b AS (SELECT min(v) AS lo, max(v) AS hi FROM vals)
 SELECT CAST(CASE WHEN b.hi = b.lo THEN 1 ELSE least(30, floor((v - b.lo) / (b.hi - b.lo) * 30) + 1) END
             AS INTEGER) AS bin,
