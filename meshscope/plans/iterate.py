@@ -11,7 +11,6 @@ Only scalar tests (is the frontier empty?) reach the driver.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from dataclasses import dataclass
@@ -24,27 +23,18 @@ ROWS_PER_BUCKET = 100_000  # rows of a bucketed round table per bucket
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables.
 
-    Read from the session.  Only a local-mode session without one gets a
-    private folder (that is the test situation); on a cluster a missing
-    setting is an error, since a machine-local folder is not shared.
+    ``spark.checkpoint.dir`` names it; a session without that setting (tests,
+    local runs) gets a folder under its warehouse directory, which every
+    executor of the session can reach as well.
     """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir()
+    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.checkpoint.dir", None
+    )
     if not root:
-        root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if root:
-            sc.setCheckpointDir(root)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir must name a shared folder for iterative operators"
-            )
-        root = tempfile.mkdtemp(prefix="meshscope-ckpt-")
-        sc.setCheckpointDir(root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_meshscope"
     return root.rstrip("/")
 
 
