@@ -83,3 +83,23 @@ def held_out(doc_id: Column) -> Column:
 
 def crc32_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
+
+
+class Remembered(dict):
+    """``make(key)`` for each key, remembered in two bounded generations.
+
+    Forgetting a key only costs the time to make it again.
+    """
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
