@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -49,10 +50,31 @@ class Workspace:
     def path(self, *parts: str) -> str:
         return "/".join((self.root,) + parts)
 
+    def folder(self, name: str) -> "Workspace":
+        """A workspace in a subfolder of this one."""
+        inner = Workspace.__new__(Workspace)
+        inner.spark, inner.root, inner._tables = self.spark, self.path(name), self._tables
+        return inner
+
+    @contextmanager
+    def _transient_shuffles(self):
+        """Shuffle files of a write go as soon as the table is written."""
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, before)
+
     def materialize(self, df: DataFrame, *parts: str) -> DataFrame:
         """Write ``df`` as parquet at ``parts`` and return the re-read table."""
         target = self.path(*parts)
-        df.write.mode("overwrite").parquet(target)
+        with self._transient_shuffles():
+            df.write.mode("overwrite").parquet(target)
         # The schema is known: skip footer inference on the read-back.
         return self.spark.read.schema(df.schema).parquet(target)
 
@@ -68,7 +90,8 @@ class Workspace:
         target = self.path(*parts)
         obs = Observation(f"meshscope_{uuid.uuid4().hex[:8]}")
         observed = df.observe(obs, *[m.alias(k) for k, m in metrics.items()])
-        observed.write.mode("overwrite").parquet(target)
+        with self._transient_shuffles():
+            observed.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target), obs.get
 
     def materialize_bucketed(
