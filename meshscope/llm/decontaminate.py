@@ -181,16 +181,21 @@ class Block:
         if part.max() < self.dense:
             return none
         starts, sizes = [], []
+        present = int(np.bitwise_or.reduce(sets))
         for size, need, bit in zip(self.sizes.tolist(), self.need.tolist(), self.bits):
             if len(ids) < size:
                 break
+            if need and not present >> int(bit) & 1:
+                continue
             known = (sets >> bit) & np.uint64(1)
+            if known.sum() < need:
+                continue
             total = np.concatenate([[0], np.cumsum(known, dtype=np.int64)])
             count = total[size - 1 :] - total[: len(total) - size + 1]
             at = np.flatnonzero(count >= need)
             starts.append(at)
             sizes.append(np.full(len(at), size))
-        return np.concatenate(starts), np.concatenate(sizes)
+        return (np.concatenate(starts), np.concatenate(sizes)) if starts else none
 
     def meet(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         """(window, item) index pairs that agree in one repetition at least."""
