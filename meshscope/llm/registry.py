@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshscope.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from meshscope.llm import (
+    decontaminate,
+    html_extract,
+    line_dedup,
+    packing,
+    quality_rules,
+    simhash,
+    url_filter,
+)
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -17,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(
         table(spark, sf_dir, "documents"), SHINGLE_WORDS, MAX_BITS, keep=["doc_id"]
@@ -52,6 +65,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", "row.text")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return found.select("row.page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]
@@ -60,10 +78,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op3_simhash": op3_simhash,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
