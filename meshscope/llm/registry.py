@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from meshscope.llm import (
     decontaminate,
     html_extract,
+    language_id,
+    line_crf,
     line_dedup,
     packing,
     quality_rules,
+    sharding,
     simhash,
     url_filter,
 )
+from meshscope.llm.common import held_out
 
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 
@@ -30,6 +35,16 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", "n_chars")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = docs.filter(~held_out(F.col("doc_id")))
+    model = language_id.fit(train, key=F.xxhash64("doc_id", "text"))
+    found = language_id.identify(docs, model, keep=["doc_id"])
+    return found.select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(
         table(spark, sf_dir, "documents"), SHINGLE_WORDS, MAX_BITS, keep=["doc_id"]
@@ -39,6 +54,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = line_crf.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    found = line_crf.score(docs, field, keep=["doc_id"])
+    return found.select(
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents"), SHARDS, keep=["doc_id"])
+    return placed.select("row.doc_id", "slot", "shard")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -79,7 +111,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
+    "op4_line_crf": op4_line_crf,
+    "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
@@ -87,4 +122,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _sharding_sql() -> str:
+    """Placement by the same table; tests hold the table against a plain restatement."""
+    listed = ", ".join(map(str, sharding.fill_table(SHARDS)))
+    return f"""
+    WITH slots AS (
+        SELECT doc_id, CAST(
+            ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {sharding.HASH_DIGITS}))::BIGINT
+            % {sharding.SLOTS} AS INTEGER) AS slot
+        FROM documents),
+    filled AS (SELECT unnest([{listed}]) AS k, unnest(range({sharding.SLOTS})) AS slot)
+    SELECT doc_id, slots.slot AS slot, 'shard-' || lpad(CAST(k AS VARCHAR), 3, '0') AS shard
+    FROM slots JOIN filled USING (slot)
+    """
+
+
+ORACLE_SQL: dict[str, str] = {"op5_sharding": _sharding_sql()}
