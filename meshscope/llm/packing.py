@@ -308,7 +308,7 @@ def pack(
         ]
     )
 
-    def place(key, group: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "ids_crc32", "start"], ascending=False, kind="stable")
         bins = pack_group(group["length"].to_numpy(), capacity)
         group = group.drop(columns="_group").assign(sequence_id=(int(key[0]) << 32) + bins)

@@ -1,0 +1,77 @@
+"""The pipeline against its stages done by brute force on a small table."""
+
+import random
+
+import corpus_pipeline
+from meshscope.llm import decontaminate, quality_rules, registry, simhash
+from tests.llm.test_line_dedup import has_word, plain_dedup
+from tests.llm.test_quality_rules import prose
+from tests.llm.test_simhash import plain_components, plain_fingerprint
+
+
+def tables(spark, make_docs, folder, rows, items):
+    make_docs(rows).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def small_corpus():
+    rng = random.Random(11)
+    items = [(k, " ".join(prose(rng, 30).split())) for k in range(5)]
+    rows = [(k, "\n".join(prose(rng, 60) for _ in range(3))) for k in range(40)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)]  # copies
+    rows += [(200 + k, f"{rows[10 + k][1]}\n{prose(rng, 60)}") for k in range(5)]  # one line more
+    rows += [(300 + k, f"{prose(rng, 70)} {items[k][1]} {prose(rng, 70)}") for k in range(5)]
+    rows += [(400 + k, " ".join(w + "###" for w in prose(rng, 90).split())) for k in range(8)]
+    rows += [(500, None), (501, ""), (None, prose(rng, 80)), (1, rows[1][1])]
+    return rows, items
+
+
+def test_against_brute_force(spark, make_docs, tmp_path):
+    rows, items = small_corpus()
+    folder = tables(spark, make_docs, tmp_path / "in", rows, items)
+    kept = [(r["doc_id"], r["text"]) for r in quality_rules.filter_documents(registry.table(spark, folder, "documents")).collect()]
+    assert {i for i, _ in rows if i is not None and 400 <= i <= 501}.isdisjoint({i for i, _ in kept})
+    assert {i for i, _ in rows if i is None or i < 400} <= {i for i, _ in kept}
+    left = [(i, t) for (i, _), t in zip(kept, plain_dedup(kept)) if has_word(t)]
+    prints = {t: plain_fingerprint(t, 4) for _, t in left}
+    classes = plain_components(sorted(set(prints.values())), 4)
+    first = {}
+    for i, t in left:
+        c = classes[prints[t]]
+        if c not in first or (i is not None and (first[c][0] is None or i < first[c][0])):
+            first[c] = (i, t)
+    clean = []
+    for i, t in first.values():
+        words = decontaminate.words_of(t)
+        from tests.llm.test_decontaminate import plain_distance
+
+        if all(plain_distance(decontaminate.words_of(x), words) > 0.2 * len(decontaminate.words_of(x)) for _, x in items):
+            clean.append(i)
+    found = corpus_pipeline.run(spark, folder)
+    pieces = found.collect()
+    assert sorted(str(r["doc_id"]) for r in pieces if r["piece"] == 0) == sorted(map(str, clean))
+    assert {r["doc_id"] for r in pieces}.isdisjoint(range(300, 305))
+    assert max(r["offset"] + r["length"] for r in pieces) <= 2048
+
+
+def test_stages_keep_the_columns(spark, make_docs, tmp_path):
+    rows, items = small_corpus()
+    folder = tables(spark, make_docs, tmp_path / "in", rows, items)
+    docs = registry.table(spark, folder, "documents")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = str(tmp_path / name)
+        stage(spark, docs, folder).write.parquet(out)
+        after = spark.read.parquet(out)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert dict(after.dtypes) == dict(docs.dtypes) and after.columns == docs.columns
+        docs = after
+
+
+def test_empty_tables(spark, make_docs, tmp_path):
+    folder = tables(spark, make_docs, tmp_path / "in", [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_fingerprint_helpers_agree():
+    assert simhash.fingerprint("A b c d e", 4) == plain_fingerprint("A b c d e", 4)
