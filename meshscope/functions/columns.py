@@ -12,16 +12,23 @@ def decimal_text(c: Column) -> Column:
     return F.when(t == "", F.lit(None)).otherwise(t)
 
 
+# Decimal places of a value's place in [0, 1] before binning (fixed value shared
+# with the oracle).
+POSITION_DIGITS = 9
+
+
 def equal_width_bin(v: Column, lo: float, hi: float, bins: int) -> Column:
     """1-based equal-width bin of ``v`` over [lo, hi]; the maximum joins the last bin.
 
-    ``least(bins, floor((v - lo) / (hi - lo) * bins) + 1)``; every value falls
-    in bin 1 when ``hi == lo``.
+    The place (v - lo) / (hi - lo) is rounded to ``POSITION_DIGITS`` decimals, so
+    a value that lies on a bin edge is binned by its value and not by the last
+    bit of a floating sum, whatever the column's scale.  Every value falls in
+    bin 1 when ``hi == lo``.
     """
     if hi == lo:
         return F.lit(1)
-    raw = F.floor((v - F.lit(lo)) / (F.lit(hi) - F.lit(lo)) * F.lit(bins)) + 1
-    return F.least(F.lit(bins).cast("bigint"), raw).cast("int")
+    place = F.round((v - F.lit(lo)) / (F.lit(hi) - F.lit(lo)), POSITION_DIGITS)
+    return F.least(F.lit(bins).cast("bigint"), F.floor(place * F.lit(bins)) + 1).cast("int")
 
 
 def share_band(share: Column, width: int = 10) -> Column:

@@ -29,8 +29,8 @@ Round k joins the pending edges with the companies completed in round k-1
 (only those), aggregates the matches per company into the state of the
 open companies, and so closes the companies whose open count reaches zero.
 Each round writes one table (the new state) under the checkpoint folder, so
-the plan of a round never contains earlier rounds; the loop stops early on
-an empty frontier.
+the plan of a round never contains earlier rounds; the loop stops on an
+empty frontier.
 """
 
 from __future__ import annotations
@@ -53,14 +53,14 @@ def _score():
     return F.try_divide(F.col("swv"), F.col("sw"))
 
 
-def unique_seed(seed: DataFrame, on_duplicate: str = "fail") -> DataFrame:
+def unique_seed(seed: DataFrame, workspace: Workspace, on_duplicate: str = "fail") -> DataFrame:
     """Seed scores keyed by a unique, non-NULL ``CONT_RUT``.
 
     A repeated id would fan out every edge it owns.  With ``'fail'`` the
-    check runs inside the consuming job: the seed is grouped by id (the
-    partitioning its join needs anyway) and a repeated id raises there, so
-    no separate pass over the seed is made.  ``'trust'`` skips the check.
-    NULL ids are dropped: they can never match an owner.
+    checked seed is written first (a repeated id raises there), so the joins
+    that follow read a plain table and AQE can split an owner of very many
+    edges.  ``'trust'`` skips the check.  NULL ids are dropped: they can never
+    match an owner.
     """
     s = seed.select(S.TAXPAYER, S.SEED_VALUE).filter(F.col(S.TAXPAYER).isNotNull())
     if on_duplicate == "trust":
@@ -71,11 +71,8 @@ def unique_seed(seed: DataFrame, on_duplicate: str = "fail") -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.first(S.SEED_VALUE).alias(S.SEED_VALUE)
     )
     message = F.concat(F.lit("seed has repeated CONT_RUT values, e.g. "), F.col(S.TAXPAYER))
-    # A filter predicate, so the check survives column pruning when only
-    # the ids are consumed.
-    return g.filter(F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.lit(True))).select(
-        S.TAXPAYER, S.SEED_VALUE
-    )
+    checked = g.filter(F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.lit(True)))
+    return workspace.materialize(checked.select(S.TAXPAYER, S.SEED_VALUE), "seed")
 
 
 @dataclass
@@ -85,19 +82,16 @@ class OpacityRun:
     workspace: Workspace
     scored_edges: DataFrame  # c, o, w, seed v
     companies: DataFrame  # CONT_RUT, Value, iterations
-    max_rounds: int
+    rounds: int  # the last round that completed a company
 
-    def edges(self, fill_last_round: bool = False) -> DataFrame:
-        """O-12: every edge with the owner score as of the last round.
+    def edges(self, before: int | None = None) -> DataFrame:
+        """O-12: every edge with its owner's score.
 
-        By default an edge holds the value of owners completed in rounds
-        ``0 .. max_rounds-1`` (the state in which the last round was scored);
-        ``fill_last_round`` also fills owners completed in the last round.
+        ``before`` gives the view of a bounded run: only owners completed in
+        rounds ``0 .. before - 1`` have a score.
         """
-        last = self.max_rounds if fill_last_round else self.max_rounds - 1
-        done = self.companies.filter(F.col(ITER) <= last).select(
-            F.col(S.TAXPAYER).alias("_o"), F.col(VALUE).alias("_V")
-        )
+        done = self.companies if before is None else self.companies.filter(F.col(ITER) < before)
+        done = done.select(F.col(S.TAXPAYER).alias("_o"), F.col(VALUE).alias("_V"))
         e = self.scored_edges
         return e.join(done, e[S.OWNER] == done["_o"], "left").select(
             S.COMPANY,
@@ -110,21 +104,21 @@ class OpacityRun:
 def run_opacity(
     edges: DataFrame,
     seed: DataFrame,
-    max_rounds: int = 9,
+    max_rounds: int | None = None,
     on_duplicate: str = "fail",
     workspace: Workspace | None = None,
-    hot_rows: int | None = None,
+    _hot_rows: int | None = None,
 ) -> OpacityRun:
-    """Run the frontier rounds; return the written tables (see module doc).
+    """Run the frontier rounds to the fixed point; return the written tables (see module doc).
 
-    ``edges`` are clean edges (O-03), ``seed`` person scores.  ``hot_rows``
-    overrides the fair-share threshold above which an owner's pending edges
-    are salted (tests use it to force salting).
+    ``edges`` are clean edges (O-03), ``seed`` person scores.  The loop ends
+    when a round completes no company.  With ``max_rounds`` a run that would
+    need more rounds raises instead of returning a part of the result.
     """
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, "opacity")
-    s = unique_seed(seed, on_duplicate)
-    w = pair_means(edges)
+    s = unique_seed(seed, ws, on_duplicate)
+    w = ws.materialize(pair_means(edges), "pairs")
     scored = ws.materialize(
         w.join(s, w[S.OWNER] == s[S.TAXPAYER], "left").select(
             S.COMPANY, S.OWNER, S.CAPITAL, F.col(S.SEED_VALUE).alias("v")
@@ -158,12 +152,12 @@ def run_opacity(
         "pending",
         key=S.OWNER,
         spread=S.COMPANY,
-        hot_rows=hot_rows,
+        _hot_rows=_hot_rows,
     )
 
-    for k in range(1, max_rounds + 1):
-        if not seen["closed"]:
-            break
+    k = 0
+    while seen["closed"]:
+        k += 1
         known = state.filter((F.col("n_open") == 0) & (F.col("sw") != 0)).select(
             F.col(S.COMPANY).alias("_o"), _score().alias("_V")
         )
@@ -183,28 +177,32 @@ def run_opacity(
             (F.col("sw") + F.coalesce(F.col("dw"), F.lit(0.0))).alias("sw"),
             (F.col("n_open") - F.coalesce(F.col("dn"), F.lit(0))).alias("n_open"),
         )
-        state, seen = ws.materialize_observed(updated, ("state", f"{ITER}={k}"), closed=closed)
+        # Also companies that close with an undefined value end here.
+        ended = F.count_if(F.col("n_open") == 0)
+        state, seen = ws.materialize_observed(
+            updated, ("state", f"{ITER}={k}"), closed=closed, ended=ended
+        )
+        if max_rounds is not None and k > max_rounds and seen["ended"]:
+            raise RuntimeError(f"more than {max_rounds} rounds are needed")
 
     # A company is closed (n_open = 0) in exactly one round's state table.
     companies = (
-        ws.read("state")
+        ws.read_rounds("state", ITER, k)
         .filter(F.col("n_open") == 0)
         .select(F.col(S.COMPANY).alias(S.TAXPAYER), _score().alias(VALUE),
                 F.col(ITER).cast("int").alias(ITER))
     )
-    return OpacityRun(ws, scored, companies, max_rounds)
+    return OpacityRun(ws, scored, companies, k)
 
 
-def opacity_index(edges: DataFrame, seed: DataFrame, max_rounds: int = 9, **kw) -> DataFrame:
+def opacity_index(edges: DataFrame, seed: DataFrame, **kw) -> DataFrame:
     """O-11: completed companies ``(CONT_RUT, Value, iterations)``."""
-    return run_opacity(edges, seed, max_rounds=max_rounds, **kw).companies
+    return run_opacity(edges, seed, **kw).companies
 
 
-def opacity_edges(
-    edges: DataFrame, seed: DataFrame, max_rounds: int = 9, fill_last_round: bool = False, **kw
-) -> DataFrame:
+def opacity_edges(edges: DataFrame, seed: DataFrame, before: int | None = None, **kw) -> DataFrame:
     """O-12: edges ``(RUT_SOCIEDAD, RUT_SOCIO, PORCENTAJE_CAPITAL, Valor)``."""
-    return run_opacity(edges, seed, max_rounds=max_rounds, **kw).edges(fill_last_round)
+    return run_opacity(edges, seed, **kw).edges(before)
 
 
 def incomplete_companies(scored_edges: DataFrame) -> DataFrame:
@@ -240,15 +238,15 @@ def single_owner_check(
         .filter(F.col("N_SOCIOS") == 1)
         .select(S.COMPANY)
     )
-    sc = scores.select(F.col(S.TAXPAYER).alias(S.COMPANY), F.col(VALUE).alias("Oscuridad_PJ"))
-    sd = seed.select(F.col(S.TAXPAYER).alias(S.OWNER), F.col(S.SEED_VALUE).alias("Oscuridad_PN"))
+    sc = scores.select(F.col(S.TAXPAYER).alias(S.COMPANY), F.col(VALUE).alias(S.CHECK_COMPANY))
+    sd = seed.select(F.col(S.TAXPAYER).alias(S.OWNER), F.col(S.SEED_VALUE).alias(S.CHECK_OWNER))
     out = (
         edges.select(S.COMPANY, S.OWNER, S.CAPITAL)
         .join(single, S.COMPANY, "left_semi")
         .join(sc, S.COMPANY)
         .join(sd, S.OWNER)
     )
-    comp = F.when(F.abs(F.col("Oscuridad_PJ") - F.col("Oscuridad_PN")) <= tol, 1).otherwise(0)
+    comp = F.when(F.abs(F.col(S.CHECK_COMPANY) - F.col(S.CHECK_OWNER)) <= tol, 1).otherwise(0)
     return out.select(
-        S.COMPANY, S.OWNER, S.CAPITAL, "Oscuridad_PJ", "Oscuridad_PN", comp.alias("Comp")
+        S.COMPANY, S.OWNER, S.CAPITAL, S.CHECK_COMPANY, S.CHECK_OWNER, comp.alias(S.CHECK)
     )

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshscope.plans.iterate import Workspace
 from meshscope.sources import schemas as S
 
 EDGE_COLUMNS = [S.COMPANY, S.OWNER, S.CAPITAL, S.PROFIT]
@@ -44,7 +45,10 @@ def clean_edges(
     deduped = dedup_edges(raw)
     out = deduped.filter(F.col(column) != 0)
     if filter_anomalous:
-        bad = capital_anomalies(deduped, lo=lo, hi=hi).select(S.COMPANY)
+        # Written first: the anti-join then reads a plain table and can be split.
+        bad = Workspace(raw.sparkSession, "anomalies").materialize(
+            capital_anomalies(deduped, lo=lo, hi=hi).select(S.COMPANY), "companies"
+        )
         out = out.join(bad, S.COMPANY, "left_anti")
     return out
 

@@ -11,6 +11,7 @@ Only scalar tests (is the frontier empty?) reach the driver.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from contextlib import contextmanager
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+CODEC = "zstd"  # intermediate tables
 ROWS_PER_BUCKET = 100_000  # rows of a bucketed round table per bucket
 
 
@@ -74,7 +76,7 @@ class Workspace:
         """Write ``df`` as parquet at ``parts`` and return the re-read table."""
         target = self.path(*parts)
         with self._transient_shuffles():
-            df.write.mode("overwrite").parquet(target)
+            df.write.mode("overwrite").parquet(target, compression=CODEC)
         # The schema is known: skip footer inference on the read-back.
         return self.spark.read.schema(df.schema).parquet(target)
 
@@ -91,11 +93,11 @@ class Workspace:
         obs = Observation(f"meshscope_{uuid.uuid4().hex[:8]}")
         observed = df.observe(obs, *[m.alias(k) for k, m in metrics.items()])
         with self._transient_shuffles():
-            observed.write.mode("overwrite").parquet(target)
+            observed.write.mode("overwrite").parquet(target, compression=CODEC)
         return self.spark.read.schema(df.schema).parquet(target), obs.get
 
     def materialize_bucketed(
-        self, df: DataFrame, name: str, key: str, spread: str, hot_rows: int | None = None
+        self, df: DataFrame, name: str, key: str, spread: str, _hot_rows: int | None = None
     ) -> "SaltedTable":
         """Write ``df`` bucketed on ``(key, _salt)`` for a join repeated every round.
 
@@ -103,22 +105,21 @@ class Workspace:
         round shuffles only the other side (or broadcasts it when small)
         instead of re-shuffling this table.  A bucketed scan cannot be split
         by AQE's skew handling, so hot keys are salted up front: a key
-        holding more than a fair share of rows (``rows / buckets``, or
-        ``hot_rows``) gets ``ceil(count / share)`` salts (at most
+        holding more than a fair share of rows (``rows / buckets``) gets ``ceil(count / share)`` salts (at most
         ``spark.sql.shuffle.partitions``) chosen by a hash of ``spread``; all
         other keys get salt 0.  Fewer than ``buckets`` keys can exceed a fair
-        share, so the hot-key table is small by construction and is
-        broadcast.  There is one bucket per ``ROWS_PER_BUCKET`` rows, at most
+        share, so the hot-key table is small by construction.  There is one bucket per ``ROWS_PER_BUCKET`` rows, at most
         ``spark.sql.shuffle.partitions``; the other side of a join is
         shuffled into the same number of partitions.  The table lives in the
         run folder and is registered in the session catalog.
         """
-        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        df = self.materialize(df, f"{name}_rows")
+        counts = self.materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), f"{name}_counts")
         total = counts.agg(F.sum("_n")).first()[0] or 0
         # Buckets follow the table's size, at most one per shuffle partition.
         limit = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(1, min(limit, -(-total // ROWS_PER_BUCKET)))
-        share = hot_rows or max(1, -(-total // buckets))
+        share = _hot_rows or max(1, -(-total // buckets))
         hot = self.materialize(
             counts.filter(F.col("_n") > share).select(
                 F.col(key).alias("_hot"),
@@ -126,13 +127,13 @@ class Workspace:
             ),
             f"{name}_hot",
         )
-        salted = df.join(F.broadcast(hot), df[key] == hot["_hot"], "left").select(
+        salted = df.join(hot, df[key] == hot["_hot"], "left").select(
             *df.columns,
             F.when(F.col("_f").isNull(), F.lit(0))
             .otherwise(F.pmod(F.hash(F.col(spread)), F.col("_f")))
             .alias("_salt"),
         )
-        table = f"meshscope_{self.root.rsplit('-', 1)[-1]}_{name}"
+        table = "meshscope_" + re.sub(r"\W", "_", f"{self.root.rsplit('-', 1)[-1]}_{name}")
         self._tables.append(table)
         (
             salted.repartition(buckets, key, "_salt")
@@ -144,17 +145,31 @@ class Workspace:
         )
         return SaltedTable(self.spark.table(table), hot, key)
 
-    def read(self, *parts: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(*parts))
+    def read_rounds(self, name: str, column: str, rounds: int) -> DataFrame:
+        """The tables ``name/column=0 .. name/column=rounds``, and no others of the folder."""
+        base = self.path(name)
+        paths = [f"{base}/{column}={k}" for k in range(rounds + 1)]
+        return self.spark.read.option("basePath", base).parquet(*paths)
+
+    def __enter__(self) -> "Workspace":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.cleanup()
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+            path.getFileSystem(conf).delete(path, True)
 
     def cleanup(self) -> None:
         """Delete the run folder (call once the results have been consumed)."""
         for table in self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(conf).delete(path, True)
+        self.drop("")
 
 
 @dataclass
@@ -172,7 +187,7 @@ class SaltedTable:
         salt slice of a hot key meets every matching row exactly once.
         """
         salts = F.sequence(F.lit(0), F.coalesce(F.col("_f"), F.lit(1)) - 1)
-        spread = other.join(F.broadcast(self.hot), other[other_key] == self.hot["_hot"], "left")
+        spread = other.join(self.hot, other[other_key] == self.hot["_hot"], "left")
         spread = spread.select(*other.columns, F.explode(salts).alias("_osalt"))
         t = self.table
         return t.join(

@@ -1,16 +1,17 @@
 """DuckDB oracle SQL for every registered query.
 
-Plain SQL over the pre-registered test views.  Iterative operators are
-unrolled into one CTE per round / hop, written in the naive form (whole
-rounds re-scored, path bags expanded with counts, pair self-joins), so the
-oracle is an independent restatement of the Spark plans.  Computed doubles
+Plain SQL over the pre-registered test views.  Iterative operators are recursive
+queries without a bound, written in another form than the Spark loops (a score
+is a sum over ownership paths, cycles come from the transitive closure, path
+bags are listed, pools are self-joined), so the oracle is an independent
+restatement and cannot share a cut.  Computed doubles
 are rounded to 6 places and integer aggregates cast to BIGINT, as in the
 registered queries.
 """
 
 from __future__ import annotations
 
-from meshscope.operators.report import BIN_DIGITS
+from meshscope.functions.columns import POSITION_DIGITS
 from meshscope.plans import registry as R
 
 
@@ -41,6 +42,9 @@ ownership AS (
   UNION ALL
   SELECT {_id('O', 'o_orderkey')}, 'S0', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
   FROM orders WHERE o_orderkey % 500 = 1
+  UNION ALL
+  SELECT {_id('G', 'o_orderkey')}, 'P1', CAST(100 AS DOUBLE), CAST(100 AS DOUBLE)
+  FROM orders WHERE o_orderkey % 400 = 0
 ),
 seed AS (
   SELECT {_id('C', 'c_custkey')} AS CONT_RUT, CAST(c_custkey % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS Valor
@@ -48,13 +52,20 @@ seed AS (
   UNION ALL
   SELECT {_id('S', 's_suppkey')}, CAST(s_suppkey % 97 AS DOUBLE) / CAST(100 AS DOUBLE)
   FROM supplier WHERE s_suppkey % 100 <> 13
+  UNION ALL
+  SELECT 'P1', CAST(1 AS DOUBLE)
 ),
 family AS (
-  SELECT {_id('S', 'a.s_suppkey')} AS CONT_RUT, {_id('S', 'b.s_suppkey')} AS RUT_FAM, 'NATION' AS TIPO_RELACION
-  FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <= b.s_suppkey
+  SELECT {_id('S', 's_suppkey')} AS CONT_RUT, {_id('S', 's_suppkey + 1')} AS RUT_FAM, 'NEXT' AS TIPO_RELACION
+  FROM supplier
+  UNION ALL
+  SELECT {_id('S', 's_suppkey')}, {_id('S', 's_suppkey + 7')}, 'NEXT' FROM supplier WHERE s_suppkey % 3 = 0
   UNION ALL
-  SELECT {_id('C', 'c.c_custkey')}, {_id('S', 's.s_suppkey')}, 'CLIENT'
-  FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey AND (c.c_custkey + s.s_suppkey) % 10 = 0
+  SELECT {_id('S', 's_suppkey')}, {_id('S', 's_suppkey')}, 'SELF' FROM supplier WHERE s_suppkey % 10 = 0
+  UNION ALL
+  SELECT {_id('C', 'c_custkey')}, {_id('S', 'c_custkey // 15 + 1')}, 'CLIENT' FROM customer
+  UNION ALL
+  SELECT {_id('C', 'c_custkey')}, 'S1', 'HUB' FROM customer WHERE c_custkey % 20 = 0
 ),
 known_groups AS (
   SELECT {_id('O', 'o_orderkey')} AS PARU_RUT_E, o_orderpriority AS COM FROM orders WHERE o_orderkey % 500 = 0
@@ -67,87 +78,75 @@ dedup AS (
 clean AS (SELECT * FROM dedup WHERE PORCENTAJE_CAPITAL <> 0)"""
 
 
-def _opacity_ctes(max_rounds: int = 9) -> str:
-    """Rounds re-scored in full: round k uses every company of round k-1."""
-    parts = [
-        """pm AS (
+OPACITY = """pm AS (
   SELECT RUT_SOCIEDAD, RUT_SOCIO, avg(PORCENTAJE_CAPITAL) AS w FROM clean GROUP BY RUT_SOCIEDAD, RUT_SOCIO
 ),
 e AS (
   SELECT pm.RUT_SOCIEDAD, pm.RUT_SOCIO, pm.w, s.Valor AS v
   FROM pm LEFT JOIN seed s ON pm.RUT_SOCIO = s.CONT_RUT
 ),
-r0 AS (
-  SELECT RUT_SOCIEDAD AS c, sum(w * v) / sum(w) AS V FROM e
-  GROUP BY RUT_SOCIEDAD HAVING count(*) = count(v)
-)"""
-    ]
-    for k in range(1, max_rounds + 1):
-        parts.append(
-            f"""r{k} AS (
-  SELECT e.RUT_SOCIEDAD AS c, sum(e.w * coalesce(e.v, p.V)) / sum(e.w) AS V
-  FROM e LEFT JOIN r{k - 1} p ON e.RUT_SOCIO = p.c
-  GROUP BY e.RUT_SOCIEDAD HAVING count(*) = count(coalesce(e.v, p.V))
-)"""
-        )
-    firsts = "\n  UNION ALL ".join(f"SELECT c, {k} AS k FROM r{k}" for k in range(max_rounds + 1))
-    parts.append(
-        f"""firsts AS (
-  SELECT c, min(k) AS k FROM (
-  {firsts}) GROUP BY c
+tot AS (SELECT RUT_SOCIEDAD AS c, sum(w) AS sw FROM e GROUP BY RUT_SOCIEDAD),
+-- unscored owners that are companies, and all companies above a company
+ce AS (SELECT e.RUT_SOCIEDAD AS c, e.RUT_SOCIO AS o FROM e JOIN tot ON e.RUT_SOCIO = tot.c WHERE e.v IS NULL),
+up AS (SELECT c, o FROM ce UNION SELECT up.c, ce.o FROM up JOIN ce ON up.o = ce.c),
+stuck AS (
+  SELECT e.RUT_SOCIEDAD AS c FROM e LEFT JOIN tot ON e.RUT_SOCIO = tot.c WHERE e.v IS NULL AND tot.c IS NULL
+  UNION SELECT c FROM up WHERE c = o
+),
+bad AS (SELECT c FROM stuck UNION SELECT up.c FROM up JOIN stuck ON up.o = stuck.c),
+-- every ownership path of the other companies, with its share of the capital
+walk AS (
+  SELECT e.RUT_SOCIEDAD AS c, e.RUT_SOCIO AS node, e.w / tot.sw AS f, e.v, 0 AS depth
+  FROM e JOIN tot ON e.RUT_SOCIEDAD = tot.c
+  WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.c = e.RUT_SOCIEDAD)
+  UNION ALL
+  SELECT walk.c, e.RUT_SOCIO, walk.f * e.w / tot.sw, e.v, walk.depth + 1
+  FROM walk JOIN e ON walk.node = e.RUT_SOCIEDAD JOIN tot ON e.RUT_SOCIEDAD = tot.c WHERE walk.v IS NULL
 ),
 res AS (
-  SELECT r{max_rounds}.c AS CONT_RUT, r{max_rounds}.V AS Value, CAST(firsts.k AS INTEGER) AS iterations
-  FROM r{max_rounds} JOIN firsts ON r{max_rounds}.c = firsts.c
-)"""
-    )
-    if max_rounds >= 1:
-        parts.append(
-            f"""scored_edges AS (
-  SELECT e.RUT_SOCIEDAD, e.RUT_SOCIO, e.w AS PORCENTAJE_CAPITAL, coalesce(e.v, p.V) AS Valor
-  FROM e LEFT JOIN r{max_rounds - 1} p ON e.RUT_SOCIO = p.c
+  SELECT c AS CONT_RUT, sum(f * v) AS Value, CAST(max(depth) AS INTEGER) AS iterations
+  FROM walk WHERE v IS NOT NULL GROUP BY c
+),
+scored_edges AS (
+  SELECT e.RUT_SOCIEDAD, e.RUT_SOCIO, e.w AS PORCENTAJE_CAPITAL, coalesce(e.v, res.Value) AS Valor
+  FROM e LEFT JOIN res ON e.RUT_SOCIO = res.CONT_RUT
 )"""
-        )
-    return ",\n".join(parts)
-
 
-def _owner_ctes(max_hops: int = 9, max_pool: int = 1000) -> str:
-    """Bag expansion with multiplicities, one CTE per hop."""
-    parts = [
-        """bag AS (
+OWNERS = """bag AS (
   SELECT RUT_SOCIEDAD AS c, RUT_SOCIO AS o, count(*) AS m FROM clean GROUP BY RUT_SOCIEDAD, RUT_SOCIO
 ),
-h0 AS (SELECT c, o AS node, m AS n FROM bag)"""
-    ]
-    for h in range(1, max_hops + 1):
-        parts.append(
-            f"""h{h} AS (
-  SELECT x.c, CASE WHEN b.c IS NULL THEN x.node ELSE b.o END AS node,
-         sum(x.n * coalesce(b.m, 1)) AS n
-  FROM h{h - 1} x LEFT JOIN bag b ON x.node = b.c
-  GROUP BY x.c, CASE WHEN b.c IS NULL THEN x.node ELSE b.o END
-)"""
-        )
-    parts.append(
-        f"""uo AS (
-  SELECT h.c AS RUT_SOCIEDAD, h.node AS RUT_SOCIO, s.CONT_RUT, CAST(h.n AS BIGINT) AS n_paths
-  FROM h{max_hops} h LEFT JOIN seed s ON h.node = s.CONT_RUT
+co AS (SELECT DISTINCT c FROM bag),
+held AS (SELECT bag.c, bag.o FROM bag JOIN co ON bag.o = co.c),
+above AS (SELECT c, o FROM held UNION SELECT above.c, held.o FROM above JOIN held ON above.o = held.c),
+loops AS (SELECT c FROM above WHERE c = o),
+cyc AS (SELECT c FROM loops UNION SELECT above.c FROM above JOIN loops ON above.o = loops.c),
+paths AS (
+  SELECT c, o AS node, m AS n FROM bag WHERE NOT EXISTS (SELECT 1 FROM cyc WHERE cyc.c = bag.c)
+  UNION ALL
+  SELECT paths.c, bag.o, paths.n * bag.m FROM paths JOIN bag ON paths.node = bag.c
+),
+uo AS (
+  SELECT p.c AS RUT_SOCIEDAD, p.node AS RUT_SOCIO, s.CONT_RUT, CAST(sum(p.n) AS BIGINT) AS n_paths,
+         FALSE AS above_cycle
+  FROM paths p LEFT JOIN seed s ON p.node = s.CONT_RUT
+  WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.c = p.node)
+  GROUP BY p.c, p.node, s.CONT_RUT
+  UNION ALL
+  SELECT c, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), TRUE FROM cyc
 ),
 pool AS (
   SELECT RUT_SOCIEDAD, CAST(sum(n_paths) AS BIGINT) AS TOTAL,
-         CAST(coalesce(sum(CASE WHEN CONT_RUT IS NOT NULL THEN n_paths END), 0) AS BIGINT) AS NONULOS
+         CAST(sum(CASE WHEN CONT_RUT IS NOT NULL THEN n_paths ELSE n_paths * 0 END) AS BIGINT) AS NONULOS
   FROM uo GROUP BY RUT_SOCIEDAD
 ),
 pool_flag AS (
-  SELECT RUT_SOCIEDAD, TOTAL, NONULOS, (TOTAL = NONULOS AND TOTAL <= {max_pool}) AS eligible FROM pool
+  SELECT RUT_SOCIEDAD, TOTAL, NONULOS, coalesce(TOTAL = NONULOS, FALSE) AS eligible FROM pool
 ),
 members AS (
   SELECT uo.RUT_SOCIEDAD, uo.CONT_RUT AS p, uo.n_paths AS n
   FROM uo JOIN pool_flag f ON uo.RUT_SOCIEDAD = f.RUT_SOCIEDAD
   WHERE f.eligible AND uo.CONT_RUT IS NOT NULL
 )"""
-    )
-    return ",\n".join(parts)
 
 
 RELATIONS = """rel AS (
@@ -168,7 +167,7 @@ related AS (
 def _closure_ctes(hops: int = 4, exclude: str | None = None) -> str:
     cond = "CONT_RUT IS NOT NULL AND RUT_FAM IS NOT NULL"
     if exclude is not None:
-        cond += f" AND NOT starts_with(CONT_RUT, '{exclude}') AND NOT starts_with(RUT_FAM, '{exclude}')"
+        cond += f" AND CONT_RUT <> '{exclude}' AND RUT_FAM <> '{exclude}'"
     parts = [
         f"""st AS (
   SELECT DISTINCT CONT_RUT AS a, RUT_FAM AS b FROM family WHERE {cond}
@@ -187,7 +186,7 @@ l1 AS (SELECT a, b FROM st)"""
 
 
 def _with(*blocks: str) -> str:
-    return "WITH " + ",\n".join([FIXTURE, *blocks]) + "\n"
+    return "WITH RECURSIVE " + ",\n".join([FIXTURE, *blocks]) + "\n"
 
 
 def _r6(expr: str, name: str) -> str:
@@ -196,13 +195,13 @@ def _r6(expr: str, name: str) -> str:
 
 def _hist_sql(column: str, bins: int, where: str = "TRUE") -> str:
     width = "((b.hi - b.lo) / " + str(bins) + ")"
-    return _with(_opacity_ctes()) + f""", vals AS (
-  SELECT round(CAST({column} AS DOUBLE), {BIN_DIGITS}) AS v FROM res WHERE {column} IS NOT NULL AND {where}
+    return _with(OPACITY) + f""", vals AS (
+  SELECT CAST({column} AS DOUBLE) AS v FROM res WHERE {column} IS NOT NULL AND {where}
 ),
 b AS (SELECT min(v) AS lo, max(v) AS hi FROM vals),
 binned AS (
   SELECT CAST(CASE WHEN b.hi = b.lo THEN 1
-              ELSE least({bins}, floor((v - b.lo) / (b.hi - b.lo) * {bins}) + 1) END AS INTEGER) AS bin
+              ELSE least({bins}, floor(round((v - b.lo) / (b.hi - b.lo), {POSITION_DIGITS}) * {bins}) + 1) END AS INTEGER) AS bin
   FROM vals, b
 ),
 counts AS (SELECT bin, count(*) AS n FROM binned GROUP BY bin),
@@ -231,25 +230,48 @@ _DESCRIBE_STATS = [
 ]
 
 
-def _describe_sql() -> str:
+def _describe_selects(source: str, columns: tuple[str, ...]) -> str:
     selects = []
-    for col in ("Value", "iterations"):
+    for col in columns:
         c = f"CAST({col} AS DOUBLE)"
         for name, expr in _DESCRIBE_STATS:
             selects.append(
                 f"SELECT '{col}' AS variable, '{name}' AS stat, "
-                f"{_r6(expr.format(c=c), 'value')} FROM res"
+                f"{_r6(expr.format(c=c), 'value')} FROM {source}"
             )
-    return _with(_opacity_ctes()) + "\n UNION ALL ".join(selects)
+    return "\n UNION ALL ".join(selects)
+
+
+_FAMILY_INDEX = """, fc AS (
+  SELECT RUT_SOCIEDAD, count(DISTINCT RUT_SOCIO_1) AS FAMILIARES FROM related GROUP BY RUT_SOCIEDAD
+),
+fi AS (
+  SELECT p.RUT_SOCIEDAD, CAST(coalesce(fc.FAMILIARES, 0) AS BIGINT) AS FAMILIARES, p.TOTAL,
+         CAST(coalesce(fc.FAMILIARES, 0) AS DOUBLE) / p.TOTAL * 100 AS TASA_FAMILIARIDAD
+  FROM pool_flag p LEFT JOIN fc ON p.RUT_SOCIEDAD = fc.RUT_SOCIEDAD
+)
+"""
+_ANOMALIES = """, anomalies AS (
+  SELECT * FROM (SELECT RUT_SOCIEDAD, sum(PORCENTAJE_CAPITAL) AS CAPITAL, sum(PORCENTAJE_UTILIDADES) AS UTILIDADES
+  FROM dedup GROUP BY RUT_SOCIEDAD) WHERE CAPITAL > 105 OR CAPITAL < 95
+)
+"""
+_SYMMETRIC_CLOSURE = """, sym AS (SELECT DISTINCT CONT_RUT, RUT_FAM FROM (
+  SELECT a AS CONT_RUT, b AS RUT_FAM FROM lv UNION ALL SELECT b, a FROM lv)),
+related_c AS (
+  SELECT a.RUT_SOCIEDAD, a.p FROM members a JOIN members b ON a.RUT_SOCIEDAD = b.RUT_SOCIEDAD AND a.p <> b.p
+  JOIN sym ON a.p = sym.CONT_RUT AND b.p = sym.RUT_FAM
+),
+fcc AS (SELECT RUT_SOCIEDAD, count(DISTINCT p) AS FAMILIARES FROM related_c GROUP BY RUT_SOCIEDAD)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    opa = _with(_opacity_ctes())
-    owners = _with(_owner_ctes())
-    fam_all = _with(_owner_ctes(), RELATIONS)
+    opa = _with(OPACITY)
+    owners = _with(OWNERS)
+    fam_all = _with(OWNERS, RELATIONS)
     closure = _with(_closure_ctes(4))
     closure2 = _with(_closure_ctes(2, R.CLOSURE_EXCLUDE))
-    small = _with(_owner_ctes(max_pool=R.SMALL_POOL), RELATIONS)
     sql = {
         "clean_edges_profit": _with() + f"SELECT {EDGE_COLS} FROM dedup WHERE PORCENTAJE_UTILIDADES <> 0",
         "clean_edges_no_anomalies": _with()
@@ -258,19 +280,22 @@ def oracle_sql() -> dict[str, str]:
   WHERE a.RUT_SOCIEDAD = c.RUT_SOCIEDAD AND (a.t > 105 OR a.t < 95))""",
         "opacity_edges_filled": opa
         + f"""SELECT e.RUT_SOCIEDAD, e.RUT_SOCIO, {_r6('e.w', 'PORCENTAJE_CAPITAL')},
-       {_r6('coalesce(e.v, p.V)', 'Valor')} FROM e LEFT JOIN r9 p ON e.RUT_SOCIO = p.c""",
-        "opacity_index_notebook_rounds": _with(_opacity_ctes(R.NOTEBOOK_ROUNDS))
-        + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res",
-        "owner_pool_small": _with(_owner_ctes(max_pool=R.SMALL_POOL))
-        + "SELECT RUT_SOCIEDAD, TOTAL, NONULOS, eligible FROM pool_flag",
+       {_r6('coalesce(e.v, p.Value)', 'Valor')}
+FROM e LEFT JOIN (SELECT * FROM res WHERE iterations < {R.BEFORE_ROUND}) p ON e.RUT_SOCIO = p.CONT_RUT""",
+        "opacity_index_notebook_rounds": opa
+        + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res WHERE iterations <= {R.NOTEBOOK_ROUNDS}",
+        "owner_pool_small": owners
+        + f"SELECT RUT_SOCIEDAD, TOTAL, NONULOS, eligible FROM pool_flag WHERE TOTAL <= {R.SMALL_POOL}",
         "companies_per_person_distinct": owners
         + "SELECT CONT_RUT, CAST(count(*) AS BIGINT) AS SOCIEDADES_RELACIONADAS FROM uo "
         "WHERE CONT_RUT IS NOT NULL GROUP BY CONT_RUT",
-        "family_index_variant": small
+        "family_index_variant": fam_all
         + f""", fc AS (
   SELECT RUT_SOCIEDAD, count(DISTINCT RUT_SOCIO_1) AS FAMILIARES FROM related GROUP BY RUT_SOCIEDAD
 ),
-sizes AS (SELECT RUT_SOCIEDAD, count(CONT_RUT) AS TOTAL FROM uo GROUP BY RUT_SOCIEDAD)
+sizes AS (
+  SELECT RUT_SOCIEDAD, CASE WHEN NOT bool_or(above_cycle) THEN count(CONT_RUT) END AS TOTAL FROM uo GROUP BY RUT_SOCIEDAD
+)
 SELECT s.RUT_SOCIEDAD, CAST(fc.FAMILIARES AS BIGINT) AS FAMILIARES, CAST(s.TOTAL AS BIGINT) AS TOTAL,
        {_r6('CAST(fc.FAMILIARES AS DOUBLE) / s.TOTAL * 100', 'TASA_FAMILIARIDAD')}, p.eligible
 FROM sizes s JOIN pool_flag p ON s.RUT_SOCIEDAD = p.RUT_SOCIEDAD
@@ -332,15 +357,16 @@ FROM m""",
         + """SELECT RUT_SOCIEDAD, CAST(count(*) AS BIGINT) AS N_SOCIOS,
        CAST(count(*) FILTER (WHERE Valor IS NULL) AS BIGINT) AS N_FALTANTES
 FROM scored_edges GROUP BY RUT_SOCIEDAD HAVING count(*) FILTER (WHERE Valor IS NULL) > 0""",
-        "single_owner_check": _with(_opacity_ctes(0))
-        + f""", single AS (
+        "single_owner_check": opa
+        + f""", r0 AS (SELECT CONT_RUT AS c, Value AS V FROM res WHERE iterations = 0),
+single AS (
   SELECT RUT_SOCIEDAD FROM pm GROUP BY RUT_SOCIEDAD HAVING count(RUT_SOCIO) = 1
 )
 SELECT cl.RUT_SOCIEDAD, cl.RUT_SOCIO, cl.PORCENTAJE_CAPITAL, {_r6('r0.V', 'Oscuridad_PJ')},
        s.Valor AS Oscuridad_PN, CASE WHEN abs(r0.V - s.Valor) <= 1e-9 THEN 1 ELSE 0 END AS Comp
 FROM clean cl JOIN single ON cl.RUT_SOCIEDAD = single.RUT_SOCIEDAD
 JOIN r0 ON cl.RUT_SOCIEDAD = r0.c JOIN seed s ON cl.RUT_SOCIO = s.CONT_RUT""",
-        "ultimate_owners": owners + "SELECT RUT_SOCIEDAD, RUT_SOCIO, CONT_RUT, n_paths FROM uo",
+        "ultimate_owners": owners + "SELECT RUT_SOCIEDAD, RUT_SOCIO, CONT_RUT, n_paths, above_cycle FROM uo",
         "companies_per_person": owners
         + "SELECT CONT_RUT, CAST(sum(n_paths) AS BIGINT) AS SOCIEDADES_RELACIONADAS FROM uo "
         "WHERE CONT_RUT IS NOT NULL GROUP BY CONT_RUT",
@@ -350,11 +376,12 @@ JOIN r0 ON cl.RUT_SOCIEDAD = r0.c JOIN seed s ON cl.RUT_SOCIO = s.CONT_RUT""",
         "ego_network": _with()
         + f""", ent AS (SELECT unnest([{', '.join(repr(e) for e in R.EGO_ENTITIES)}]) AS ENTIDAD),
 x AS (
-  SELECT ent.ENTIDAD, c.RUT_SOCIO, c.RUT_SOCIEDAD, c.PORCENTAJE_CAPITAL, 'in' AS DIRECCION
+  SELECT ent.ENTIDAD, c.RUT_SOCIO, c.RUT_SOCIEDAD, c.PORCENTAJE_CAPITAL,
+         CASE WHEN c.RUT_SOCIO = ent.ENTIDAD THEN 'self' ELSE 'in' END AS DIRECCION
   FROM clean c JOIN ent ON c.RUT_SOCIEDAD = ent.ENTIDAD
   UNION ALL
   SELECT ent.ENTIDAD, c.RUT_SOCIO, c.RUT_SOCIEDAD, c.PORCENTAJE_CAPITAL, 'out'
-  FROM clean c JOIN ent ON c.RUT_SOCIO = ent.ENTIDAD
+  FROM clean c JOIN ent ON c.RUT_SOCIO = ent.ENTIDAD WHERE c.RUT_SOCIO IS DISTINCT FROM c.RUT_SOCIEDAD
 )
 SELECT ENTIDAD, RUT_SOCIO, RUT_SOCIEDAD, PORCENTAJE_CAPITAL,
        CAST(floor(PORCENTAJE_CAPITAL / 10) * 10 AS INTEGER) AS BANDA,
@@ -378,7 +405,40 @@ FROM pool_flag p LEFT JOIN fc ON p.RUT_SOCIEDAD = fc.RUT_SOCIEDAD""",
         + "SELECT TIPO_RELACION, CAST(count(*) AS BIGINT) AS N FROM family GROUP BY TIPO_RELACION",
         "relative_degree": _with()
         + "SELECT CONT_RUT, CAST(count(*) AS BIGINT) AS N FROM family GROUP BY CONT_RUT",
-        "describe_scores": _describe_sql(),
+        "describe_scores": opa + _describe_selects("res", ("Value", "iterations")),
+        "describe_high_opacity": opa
+        + f", high AS (SELECT * FROM res WHERE Value >= {R.HIGH_THRESHOLD})\n"
+        + _describe_selects("high", ("Value", "iterations")),
+        "describe_family": fam_all
+        + _FAMILY_INDEX
+        + _describe_selects("fi", ("FAMILIARES", "TOTAL", "TASA_FAMILIARIDAD")),
+        "describe_anomalies": _with() + _ANOMALIES + _describe_selects("anomalies", ("CAPITAL", "UTILIDADES")),
+        "profit_anomalies": _with()
+        + f"""SELECT RUT_SOCIEDAD, {_r6('CAPITAL', 'CAPITAL')}, {_r6('UTILIDADES', 'UTILIDADES')} FROM (
+  SELECT RUT_SOCIEDAD, sum(PORCENTAJE_CAPITAL) AS CAPITAL, sum(PORCENTAJE_UTILIDADES) AS UTILIDADES
+  FROM dedup GROUP BY RUT_SOCIEDAD) WHERE UTILIDADES > 105 OR UTILIDADES < 95""",
+        "load_seed": _with() + "SELECT CONT_RUT, Valor FROM seed",
+        "load_family": _with() + "SELECT CONT_RUT, RUT_FAM, TIPO_RELACION FROM family",
+        "load_groups": _with() + "SELECT PARU_RUT_E, COM FROM known_groups",
+        "group_coverage_raw": _with()
+        + """, g AS (SELECT DISTINCT PARU_RUT_E, COM FROM known_groups),
+m AS (SELECT g.PARU_RUT_E, c.RUT_SOCIEDAD FROM g LEFT JOIN ownership c ON g.PARU_RUT_E = c.RUT_SOCIEDAD)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM g) AS groups,
+       CAST(count(RUT_SOCIEDAD) AS BIGINT) AS matched_edges,
+       CAST(count(DISTINCT CASE WHEN RUT_SOCIEDAD IS NOT NULL THEN PARU_RUT_E END) AS BIGINT) AS matched_groups
+FROM m""",
+        "result_lookup": opa
+        + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res "
+        f"WHERE starts_with(CONT_RUT, '{R.RESULT_PREFIX}')",
+        "family_index_closure": _with(OWNERS, RELATIONS, _closure_ctes(4))
+        + _SYMMETRIC_CLOSURE
+        + f"""SELECT p.RUT_SOCIEDAD, CAST(fcc.FAMILIARES AS BIGINT) AS FAMILIARES, p.TOTAL,
+       {_r6('CAST(fcc.FAMILIARES AS DOUBLE) / p.TOTAL * 100', 'TASA_FAMILIARIDAD')}
+FROM pool_flag p JOIN fcc ON p.RUT_SOCIEDAD = fcc.RUT_SOCIEDAD""",
+        "job_companies": opa + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res",
+        "job_family_index": fam_all
+        + _FAMILY_INDEX
+        + f"SELECT RUT_SOCIEDAD, FAMILIARES, TOTAL, {_r6('TASA_FAMILIARIDAD', 'TASA_FAMILIARIDAD')} FROM fi",
         "completion_rate": opa
         + f"""SELECT CAST(count(DISTINCT RUT_SOCIEDAD) AS BIGINT) AS companies,
        (SELECT CAST(count(*) AS BIGINT) FROM res) AS completed,
@@ -390,14 +450,14 @@ FROM scored_edges""",
         + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res WHERE Value >= 0.0 "
         f"ORDER BY Value DESC, CONT_RUT ASC LIMIT {R.TOP_K}",
         "opacity_exact_one": opa
-        + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res WHERE Value = 1.0",
+        + f"SELECT CONT_RUT, {_r6('Value', 'Value')}, iterations FROM res WHERE abs(Value - 1.0) <= 1e-9",
         "score_histogram": _hist_sql("Value", 10),
         "iterations_histogram": _hist_sql("iterations", 10),
         "high_score_histogram": _hist_sql("Value", 10, f"Value >= {R.HIGH_THRESHOLD}"),
         "score_by_round": opa
-        + f""", vals AS (SELECT round(Value, {BIN_DIGITS}) AS v, iterations FROM res WHERE Value IS NOT NULL),
+        + f""", vals AS (SELECT Value AS v, iterations FROM res WHERE Value IS NOT NULL),
 b AS (SELECT min(v) AS lo, max(v) AS hi FROM vals)
-SELECT CAST(CASE WHEN b.hi = b.lo THEN 1 ELSE least(30, floor((v - b.lo) / (b.hi - b.lo) * 30) + 1) END
+SELECT CAST(CASE WHEN b.hi = b.lo THEN 1 ELSE least(30, floor(round((v - b.lo) / (b.hi - b.lo), {POSITION_DIGITS}) * 30) + 1) END
             AS INTEGER) AS bin,
        iterations, CAST(count(*) AS BIGINT) AS count
 FROM vals, b GROUP BY ALL""",

@@ -21,6 +21,7 @@ from meshscope.operators import propagation as prop
 from meshscope.operators import quality as q
 from meshscope.operators import report as rep
 from meshscope.plans.iterate import Workspace
+from meshscope.plans.jobs import run_job
 from meshscope.sources import fixture, readers, writers
 from meshscope.sources import schemas as S
 
@@ -35,7 +36,9 @@ HIGH_THRESHOLD = 0.75
 TOP_K = 20
 SMALL_POOL = 30
 NOTEBOOK_ROUNDS = 5
-CLOSURE_EXCLUDE = "C"
+BEFORE_ROUND = 10
+CLOSURE_EXCLUDE = "S7"
+RESULT_PREFIX = "O24"
 
 
 ROUND_NUDGE = 1e-12
@@ -57,18 +60,14 @@ def _dedup(spark, d):
     return q.dedup_edges(fixture.ownership(spark, d))
 
 
-def _opacity(spark, d, max_rounds=9) -> prop.OpacityRun:
-    return prop.run_opacity(_clean(spark, d), fixture.seed(spark, d), max_rounds=max_rounds)
+def _opacity(spark, d) -> prop.OpacityRun:
+    return prop.run_opacity(_clean(spark, d), fixture.seed(spark, d))
 
 
 def _companies(spark, d) -> DataFrame:
     return _opacity(spark, d).companies
 
 
-def _opacity_rounds(spark, d, max_rounds) -> prop.OpacityRun:
-    return prop.run_opacity(_clean(spark, d), fixture.seed(spark, d), max_rounds=max_rounds)
-
-
 def _owners(spark, d) -> DataFrame:
     return own.ultimate_owners(_clean(spark, d), fixture.seed(spark, d))
 
@@ -101,6 +100,27 @@ def write_round_trip(spark, d):
     return readers.load_edges(spark, targets[1])
 
 
+def load_seed(spark, d):
+    """O-01: seed through parquet with text numbers, cast on reading."""
+    ws = Workspace(spark, "seed")
+    text = fixture.seed(spark, d).select(S.TAXPAYER, F.col(S.SEED_VALUE).cast("string"))
+    writers.write_table(text, ws.path("seed"))
+    return readers.load_seed(spark, ws.path("seed"))
+
+
+def load_family(spark, d):
+    """O-01: family relations by a catalog name."""
+    fixture.family(spark, d).createOrReplaceTempView("meshscope_family")
+    return readers.load_family(spark, "meshscope_family", fmt="table")
+
+
+def load_groups(spark, d):
+    """O-01: known groups through a ','-separated CSV and back."""
+    ws = Workspace(spark, "groups")
+    writers.write_table(fixture.known_groups(spark, d), ws.path("groups_csv"), fmt="csv")
+    return readers.load_groups(spark, ws.path("groups_csv"), fmt="csv")
+
+
 # ---------------------------------------------------------------- quality
 
 def clean_edges(spark, d):
@@ -149,6 +169,11 @@ def capital_anomalies_pair_mean(spark, d):
         S.COMPANY, _r6("CAPITAL"), _r6("UTILIDADES"))
 
 
+def profit_anomalies(spark, d):
+    return q.capital_anomalies(_dedup(spark, d), lo=95.0, hi=105.0, column="UTILIDADES").select(
+        S.COMPANY, _r6("CAPITAL"), _r6("UTILIDADES"))
+
+
 def entity_lookup_prefix(spark, d):
     return q.entity_lookup(_clean(spark, d), prefix=LOOKUP_PREFIX, columns=(S.COMPANY, S.OWNER))
 
@@ -161,6 +186,10 @@ def group_coverage(spark, d):
     return q.group_coverage(fixture.known_groups(spark, d), _clean(spark, d))
 
 
+def group_coverage_raw(spark, d):
+    return q.group_coverage(fixture.known_groups(spark, d), _raw(spark, d))
+
+
 # ---------------------------------------------------------------- opacity
 
 def opacity_index(spark, d):
@@ -172,15 +201,22 @@ def opacity_edges(spark, d):
 
 
 def opacity_edges_filled(spark, d):
-    return _opacity(spark, d).edges(fill_last_round=True).select(
+    """The view of a run that stops after its ninth round."""
+    return _opacity(spark, d).edges(before=BEFORE_ROUND).select(
         S.COMPANY, S.OWNER, _r6(S.CAPITAL), _r6(S.SEED_VALUE))
 
 
 def opacity_index_notebook_rounds(spark, d):
-    return _opacity_rounds(spark, d, NOTEBOOK_ROUNDS).companies.select(
+    """The companies that a run of so many rounds completes."""
+    return _companies(spark, d).filter(F.col(prop.ITER) <= NOTEBOOK_ROUNDS).select(
         S.TAXPAYER, _r6(prop.VALUE), prop.ITER)
 
 
+def result_lookup(spark, d):
+    found = q.entity_lookup(_companies(spark, d), prefix=RESULT_PREFIX, columns=(S.TAXPAYER,))
+    return found.select(S.TAXPAYER, _r6(prop.VALUE), prop.ITER)
+
+
 def incomplete_companies(spark, d):
     return prop.incomplete_companies(_opacity(spark, d).edges())
 
@@ -188,7 +224,7 @@ def incomplete_companies(spark, d):
 def single_owner_check(spark, d):
     clean = _clean(spark, d)
     seed = fixture.seed(spark, d)
-    round0 = prop.opacity_index(clean, seed, max_rounds=0)
+    round0 = prop.opacity_index(clean, seed).filter(F.col(prop.ITER) == 0)
     return prop.single_owner_check(clean, seed, round0).select(
         S.COMPANY, S.OWNER, S.CAPITAL, _r6("Oscuridad_PJ"), "Oscuridad_PN", "Comp")
 
@@ -208,7 +244,7 @@ def owner_pool(spark, d):
 
 
 def owner_pool_small(spark, d):
-    return own.owner_pool(_owners(spark, d), max_pool=SMALL_POOL)
+    return own.owner_pool(_owners(spark, d)).filter(F.col("TOTAL") <= SMALL_POOL)
 
 
 def companies_per_person_distinct(spark, d):
@@ -245,14 +281,21 @@ def family_index(spark, d):
 
 
 def family_index_variant(spark, d):
-    out = fam.family_index(_owners(spark, d), _relations(spark, d), max_pool=SMALL_POOL,
+    out = fam.family_index(_owners(spark, d), _relations(spark, d),
                            unrelated_fill="null", distinct_pool=True, with_eligible=True)
     return out.select(S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"), "eligible")
 
 
+def family_index_closure(spark, d):
+    """O-19 over pairs related within four relations; companies without such a pair are absent."""
+    pairs = fam.family_closure(fam.family_closure_levels(fixture.family(spark, d), hops=4))
+    out = fam.family_index(_owners(spark, d), pairs, unrelated_fill="drop")
+    return out.select(S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"))
+
+
 def family_closure_two_hops(spark, d):
     levels = fam.family_closure_levels(fixture.family(spark, d), hops=2,
-                                       exclude_prefix=CLOSURE_EXCLUDE)
+                                       exclude_id=CLOSURE_EXCLUDE)
     return fam.family_closure(levels)
 
 
@@ -270,6 +313,25 @@ def describe_scores(spark, d):
     return rep.describe_scores(_companies(spark, d)).select("variable", "stat", _r6("value"))
 
 
+def _described(df):
+    return df.select("variable", "stat", _r6("value"))
+
+
+def describe_high_opacity(spark, d):
+    return _described(rep.describe(rep.high_opacity(_companies(spark, d), HIGH_THRESHOLD),
+                                   (prop.VALUE, prop.ITER)))
+
+
+def describe_family(spark, d):
+    index = Workspace(spark, "describe").materialize(
+        fam.family_index(_owners(spark, d), _relations(spark, d)), "family_index")
+    return _described(rep.describe(index, ("FAMILIARES", "TOTAL", "TASA_FAMILIARIDAD")))
+
+
+def describe_anomalies(spark, d):
+    return _described(rep.describe(q.capital_anomalies(_dedup(spark, d)), ("CAPITAL", "UTILIDADES")))
+
+
 def completion_rate(spark, d):
     run = _opacity(spark, d)
     return rep.completion_rate(run.edges(), run.companies).select(
@@ -312,6 +374,23 @@ def score_by_round(spark, d):
     return rep.score_by_round(_companies(spark, d), bins=30)
 
 
+# ---------------------------------------------------------------- whole job
+
+def _job(spark, d, output):
+    space = Workspace(spark, "job_output")
+    run_job(_raw(spark, d), fixture.seed(spark, d), fixture.family(spark, d), space.path("out"))
+    return spark.read.parquet(space.path("out", output))
+
+
+def job_companies(spark, d):
+    return _job(spark, d, "opacity_companies").select(S.TAXPAYER, _r6(prop.VALUE), prop.ITER)
+
+
+def job_family_index(spark, d):
+    return _job(spark, d, "family_index").select(
+        S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"))
+
+
 QUERIES: dict[str, Query] = {
     "load_edges": load_edges,
     "write_round_trip": write_round_trip,
@@ -359,4 +438,16 @@ QUERIES: dict[str, Query] = {
     "iterations_histogram": iterations_histogram,
     "high_score_histogram": high_score_histogram,
     "score_by_round": score_by_round,
+    "load_seed": load_seed,
+    "load_family": load_family,
+    "load_groups": load_groups,
+    "profit_anomalies": profit_anomalies,
+    "group_coverage_raw": group_coverage_raw,
+    "result_lookup": result_lookup,
+    "family_index_closure": family_index_closure,
+    "describe_high_opacity": describe_high_opacity,
+    "describe_family": describe_family,
+    "describe_anomalies": describe_anomalies,
+    "job_companies": job_companies,
+    "job_family_index": job_family_index,
 }

@@ -28,6 +28,21 @@ def _d(value: float | None) -> Column:
     return F.lit(value).cast("double")
 
 
+def _edge(company: Column, owner: Column, capital: Column, profit: Column, there: Column) -> Column:
+    return F.struct(
+        company.alias(S.COMPANY),
+        owner.alias(S.OWNER),
+        capital.cast("double").alias(S.CAPITAL),
+        profit.cast("double").alias(S.PROFIT),
+        there.alias("_there"),
+    )
+
+
+def _edges(df: DataFrame, *parts: Column) -> DataFrame:
+    """The edges that each row of one scan stands for."""
+    return df.select(F.inline(F.array(*parts))).filter("_there").drop("_there")
+
+
 def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ownership edges (with duplicates, zero and NULL shares, chains, cycles).
 
@@ -41,42 +56,33 @@ def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
       d. orders with o_orderkey % 12 <> 0: owned by O<o_orderkey - 1>, 10 / 10
       e. orders with o_orderkey % 240 = 0: owned by O<o_orderkey + 1>, 5 / 5
       f. orders with o_orderkey % 500 = 1: owned by 'S0', NULL / NULL
+      g. orders with o_orderkey % 400 = 0: G<o_orderkey> owned by 'P1', 100 / 100
     """
     li = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber",
                 "l_quantity", "l_discount")
     od = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    company_l = _id("O", F.col("l_orderkey")).alias(S.COMPANY)
-    owner_l = _id("S", F.col("l_suppkey")).alias(S.OWNER)
-    company_o = _id("O", F.col("o_orderkey")).alias(S.COMPANY)
-    zero = _d(0.0)
-    qty = F.col("l_quantity")
-    no_discount = F.col("l_discount") == 0
-    part_a = li.select(
-        company_l,
-        owner_l,
-        F.when(F.col("l_linenumber") == 7, zero).otherwise(qty).alias(S.CAPITAL),
-        F.when((F.col("l_linenumber") == 7) | no_discount, zero).otherwise(qty).alias(S.PROFIT),
+    key, qty = F.col("o_orderkey"), F.col("l_quantity")
+    company_l, owner_l = _id("O", F.col("l_orderkey")), _id("S", F.col("l_suppkey"))
+    company_o = _id("O", key)
+    last, no_discount = F.col("l_linenumber") == 7, F.col("l_discount") == 0
+    zero, none = _d(0.0), _d(None)
+    every = F.lit(True)
+    lines = _edges(
+        li,
+        _edge(company_l, owner_l, F.when(last, zero).otherwise(qty),
+              F.when(last | no_discount, zero).otherwise(qty), every),
+        _edge(company_l, owner_l, qty, F.when(no_discount, zero).otherwise(qty),
+              (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0)),
     )
-    part_b = li.filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0)).select(
-        company_l,
-        owner_l,
-        qty.alias(S.CAPITAL),
-        F.when(no_discount, zero).otherwise(qty).alias(S.PROFIT),
+    orders = _edges(
+        od,
+        _edge(company_o, _id("C", F.col("o_custkey")), _d(20.0), _d(20.0), every),
+        _edge(company_o, _id("O", key - 1), _d(10.0), _d(10.0), key % 12 != 0),
+        _edge(company_o, _id("O", key + 1), _d(5.0), _d(5.0), key % 240 == 0),
+        _edge(company_o, F.lit("S0"), none, none, key % 500 == 1),
+        _edge(_id("G", key), F.lit("P1"), _d(100.0), _d(100.0), key % 400 == 0),
     )
-    part_c = od.select(company_o, _id("C", F.col("o_custkey")).alias(S.OWNER),
-                       _d(20.0).alias(S.CAPITAL), _d(20.0).alias(S.PROFIT))
-    part_d = od.filter(F.col("o_orderkey") % 12 != 0).select(
-        company_o, _id("O", F.col("o_orderkey") - 1).alias(S.OWNER),
-        _d(10.0).alias(S.CAPITAL), _d(10.0).alias(S.PROFIT))
-    part_e = od.filter(F.col("o_orderkey") % 240 == 0).select(
-        company_o, _id("O", F.col("o_orderkey") + 1).alias(S.OWNER),
-        _d(5.0).alias(S.CAPITAL), _d(5.0).alias(S.PROFIT))
-    part_f = od.filter(F.col("o_orderkey") % 500 == 1).select(
-        company_o, F.lit("S0").alias(S.OWNER), _d(None).alias(S.CAPITAL), _d(None).alias(S.PROFIT))
-    out = part_a
-    for part in (part_b, part_c, part_d, part_e, part_f):
-        out = out.unionByName(part)
-    return out
+    return lines.unionByName(orders)
 
 
 def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +90,7 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Fixed fixture rules: C<c_custkey> -> (c_custkey % 101) / 100 for
     c_custkey % 50 <> 7; S<s_suppkey> -> (s_suppkey % 97) / 100 for
-    s_suppkey % 100 <> 13 (division in DOUBLE).
+    s_suppkey % 100 <> 13 (division in DOUBLE); 'P1' -> 1.
     """
     cu = _table(spark, sf_dir, "customer", "c_custkey")
     su = _table(spark, sf_dir, "supplier", "s_suppkey")
@@ -94,38 +100,38 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     persons_s = su.filter(F.col("s_suppkey") % 100 != 13).select(
         _id("S", F.col("s_suppkey")).alias(S.TAXPAYER),
         ((F.col("s_suppkey") % 97).cast("double") / 100.0).alias(S.SEED_VALUE))
-    return persons_c.unionByName(persons_s)
+    holder = spark.range(1).select(F.lit("P1").alias(S.TAXPAYER), F.lit(1.0).alias(S.SEED_VALUE))
+    return persons_c.unionByName(persons_s).unionByName(holder)
 
 
 def family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Family relations.
-
-    Fixed fixture rules: (S<a>, S<b>, 'NATION') for suppliers a <= b of the
-    same nation (a = b yields self-relations that consumers must drop);
-    (C<c>, S<s>, 'CLIENT') for a customer and a supplier of the same nation
-    with (c + s) % 10 = 0.
-
-    The second rule is evaluated as an equi-join on (nation, residue), where
-    the customer residue c % 10 must equal (10 - s % 10) % 10; that splits each
-    nation into ten join keys instead of filtering a per-nation product.
-    The NATION rule is a relation inside each nation by definition of the
-    test data; real deployments read the family table from storage.
+    """Family relations: a few per person, whatever the size of the tables.
+
+    Fixed fixture rules: supplier s: (S<s>, S<s + 1>, 'NEXT'); (S<s>, S<s + 7>,
+    'NEXT') for s % 3 = 0; (S<s>, S<s>, 'SELF') for s % 10 = 0 (self-relations
+    that consumers must drop).  Customer c: (C<c>, S<c div 15 + 1>, 'CLIENT');
+    (C<c>, 'S1', 'HUB') for c % 20 = 0 (one person with very many relatives).
     """
-    su = _table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    cu = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    a = su.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("na"))
-    b = su.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nb"))
-    nation = a.join(b, (F.col("na") == F.col("nb")) & (F.col("a") <= F.col("b"))).select(
-        _id("S", F.col("a")).alias(S.TAXPAYER), _id("S", F.col("b")).alias(S.RELATIVE),
-        F.lit("NATION").alias(S.RELATION_TYPE))
-    cust = cu.select("c_custkey", F.col("c_nationkey").alias("n"),
-                     (F.col("c_custkey") % 10).alias("r"))
-    supp = su.select("s_suppkey", F.col("s_nationkey").alias("n"),
-                     ((10 - F.col("s_suppkey") % 10) % 10).alias("r"))
-    client = cust.join(supp, ["n", "r"]).select(
-        _id("C", F.col("c_custkey")).alias(S.TAXPAYER), _id("S", F.col("s_suppkey")).alias(S.RELATIVE),
-        F.lit("CLIENT").alias(S.RELATION_TYPE))
-    return nation.unionByName(client)
+    su = _table(spark, sf_dir, "supplier", "s_suppkey")
+    cu = _table(spark, sf_dir, "customer", "c_custkey")
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+
+    def relation(a: Column, b: Column, kind: str, there: Column) -> Column:
+        return F.struct(a.alias(S.TAXPAYER), b.alias(S.RELATIVE),
+                        F.lit(kind).alias(S.RELATION_TYPE), there.alias("_there"))
+
+    suppliers = _edges(
+        su,
+        relation(_id("S", s), _id("S", s + 1), "NEXT", F.lit(True)),
+        relation(_id("S", s), _id("S", s + 7), "NEXT", s % 3 == 0),
+        relation(_id("S", s), _id("S", s), "SELF", s % 10 == 0),
+    )
+    customers = _edges(
+        cu,
+        relation(_id("C", c), _id("S", F.floor(c / 15) + 1), "CLIENT", F.lit(True)),
+        relation(_id("C", c), F.lit("S1"), "HUB", c % 20 == 0),
+    )
+    return suppliers.unionByName(customers)
 
 
 def known_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

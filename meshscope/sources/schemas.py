@@ -19,6 +19,9 @@ RELATIVE = "RUT_FAM"
 RELATION_TYPE = "TIPO_RELACION"
 GROUP_ID = "PARU_RUT_E"
 GROUP_LABEL = "COM"
+CHECK_COMPANY = "Oscuridad_PJ"
+CHECK_OWNER = "Oscuridad_PN"
+CHECK = "Comp"
 
 OWNERSHIP = T.StructType(
     [
@@ -51,14 +54,5 @@ KNOWN_GROUPS = T.StructType(
     ]
 )
 
-# Completed companies of the opacity index.
-OPACITY = T.StructType(
-    [
-        T.StructField(TAXPAYER, T.StringType()),
-        T.StructField("Value", T.DoubleType()),
-        T.StructField("iterations", T.IntegerType()),
-    ]
-)
-
 # Older family extracts name the relative column differently.
 COLUMN_ALIASES = {"CONT_RUT_FAM": RELATIVE}

@@ -3,10 +3,12 @@
 import os
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meshscope.operators import family, ownership, propagation, quality
+from meshscope.functions import quantiles
+from meshscope.operators import family, ownership, propagation, quality, report
 from meshscope.sources import readers, writers
 
 EDGE_SCHEMA = (
@@ -36,16 +38,42 @@ def test_zero_capital_total_is_null(spark):
     assert got == {"A": None}
 
 
-def test_chain_stops_at_round_cap(spark):
+def test_a_long_chain_is_followed_to_its_end(spark):
     # c0 owned by a person, c_k owned by c_{k-1}: c_k completes in round k.
-    rows = [("c0", "p", 100.0)] + [(f"c{k}", f"c{k - 1}", 100.0) for k in range(1, 12)]
+    rows = [("c0", "p", 100.0)] + [(f"c{k}", f"c{k - 1}", 100.0) for k in range(1, 14)]
     seed = spark.createDataFrame([("p", 0.4)], "CONT_RUT string, Valor double")
-    got = {r.CONT_RUT: r.iterations
-           for r in propagation.opacity_index(edges_df(spark, rows), seed).collect()}
-    assert got == {f"c{k}": k for k in range(10)}
+    run = propagation.run_opacity(edges_df(spark, rows), seed)
+    assert {r.CONT_RUT: r.iterations for r in run.companies.collect()} == {f"c{k}": k for k in range(14)}
+    late = {r.RUT_SOCIEDAD for r in run.edges(before=10).collect() if r.Valor is None}
+    assert late == {"c11", "c12", "c13"} and not propagation.incomplete_companies(run.edges()).count()
     owners = ownership.ultimate_owners(edges_df(spark, rows), seed)
     pool = {r.RUT_SOCIEDAD: (r.NONULOS, r.eligible) for r in ownership.owner_pool(owners).collect()}
-    assert pool["c9"] == (1, True) and pool["c10"] == (0, False)
+    assert pool == {f"c{k}": (1, True) for k in range(14)}
+
+
+def test_quantiles_over_many_ranges_and_with_nan(spark):
+    values = [float((37 * k) % 1009) for k in range(1009)] + [float("nan"), None, 5.0, 5.0, 5.0]
+    df = spark.createDataFrame([(v, 2.0) for v in values], "a double, b double").repartition(6)
+    found = report.describe(df, ("a", "b", "a"))
+    got = {(r.variable, r.stat): r.value for r in found.collect()}
+    plain = pd.Series([v for v in values if v is not None]).dropna().describe()
+    for stat, value in plain.items():
+        assert got["a", stat] == pytest.approx(value)
+    assert got["b", "50%"] == 2.0 and got["b", "std"] == 0.0
+    ranges = quantiles.exact_quantiles(df, ["a"], [0.0, 0.1, 1.0])
+    assert ranges["a"] == [0.0, plain_quantile(values, 0.1), 1008.0]
+    empty = {r.stat: r.value for r in report.describe(df.filter("a < 0"), ("a",)).collect()}
+    assert empty["count"] == 0 and empty["50%"] is None
+
+
+def plain_quantile(values, p):
+    return float(pd.Series([v for v in values if v is not None]).dropna().quantile(p))
+
+
+def test_histogram_of_a_narrow_column(spark):
+    df = spark.createDataFrame([(1.0 + k * 1e-12,) for k in range(10)], "v double")
+    counts = [r["count"] for r in report.score_histogram(df, "v", bins=3).orderBy("bin").collect()]
+    assert sum(counts) == 10 and min(counts) > 0
 
 
 def test_closure_chain_four_hops(spark):
@@ -59,10 +87,10 @@ def test_closure_chain_four_hops(spark):
     assert sizes == {1: 5, 2: 4, 3: 3, 4: 2}
 
 
-def test_closure_self_relations_are_steps_and_prefix_excluded(spark):
+def test_closure_self_relations_are_steps_and_one_id_excluded(spark):
     rows = [("a", "a", "X"), ("a", "b", "X"), ("t1", "a", "X"), (None, "b", "X"), ("b", None, "X")]
     fam = spark.createDataFrame(rows, "CONT_RUT string, RUT_FAM string, TIPO_RELACION string")
-    levels = family.family_closure_levels(fam, hops=2, exclude_prefix="t")
+    levels = family.family_closure_levels(fam, hops=2, exclude_id="t1")
     got = sorted((r.CONT_RUT, r.RUT_FAM, r.hop) for r in levels.collect())
     assert got == [("a", "b", 1), ("a", "b", 2)]
 
