@@ -26,14 +26,16 @@ an empty benchmark leaves every text clean.  Texts are searched whole.
 
 from __future__ import annotations
 
+import re
 import string
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshscope.llm.common import Remembered, append, column, struct, unpack
+from meshscope.llm.common import append, column, struct, unpack
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
@@ -41,7 +43,6 @@ REPEATS = 12
 SAMPLED = 3
 STRETCH = 3  # walk steps per word
 BLOCK_WORDS = 1_000_000
-REMEMBER = 150_000  # tokens a task remembers
 WINDOWS = 1 << 18  # windows walked at a time
 PUNCTUATION = string.punctuation + "¡¿«»“”„‘’–—…"
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -57,12 +58,13 @@ HITS = T.ArrayType(
 )
 
 
-def normal(token: str) -> str:
-    return token.lower().strip(PUNCTUATION)
+_AFTER = re.compile(rf"[{re.escape(PUNCTUATION)}]+(?!\S)")
+_BEFORE = re.compile(rf"\s[{re.escape(PUNCTUATION)}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in map(normal, (text or "").split()) if w]
+    text = _BEFORE.sub(" ", _AFTER.sub("", text or "").lstrip(PUNCTUATION))
+    return text.lower().split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,26 +85,39 @@ def pair_slots(ids: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     return (mix(a * _SEED + b) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def sample_keys(ids, starts, sizes, repeat_: int) -> np.ndarray:
+def sample_keys(ids, starts, sizes, repeat_: int, symbols: int) -> np.ndarray:
     """The LSH key of windows ``ids[start : start + size]`` in one repetition.
 
     Sampled positions are fixed per repetition and size; a walk that has left
-    its window writes a mark.
+    its window writes a mark.  ``ids`` are below ``symbols``.
     """
-    steps = STRETCH * sizes
-    rng = np.random.default_rng([repeat_, 7])
-    longest = int(steps.max(initial=0))
-    spots = np.sort((rng.random(SAMPLED)[:, None] * steps[None, :]).astype(np.int64), axis=0)
-    seeds = mix(np.arange(1, longest + 1, dtype=np.uint64) * _SEED + np.uint64(repeat_ * 1_000_003))
-    at = np.zeros(len(starts), dtype=np.int64)
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    order = np.argsort(sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    groups, begin = np.unique(sizes, return_index=True)
+    shares = np.random.default_rng([repeat_, 7]).random(SAMPLED)
+    events: dict[int, list[slice]] = {}  # the windows that sample a step
+    for size, a, b in zip(groups.tolist(), begin.tolist(), [*begin[1:].tolist(), len(sizes)]):
+        for share in shares:
+            events.setdefault(int(share * STRETCH * size), []).append(slice(a, b))
+    steps = max(events) + 1
+    seeds = mix(np.arange(1, steps + 1, dtype=np.uint64) * _SEED + np.uint64(repeat_ * 1_000_003))
+    marks = np.arange(symbols + 1, dtype=np.uint64) * _SEED
+    ends, at = starts + sizes, starts.copy()
     keys = sizes.astype(np.uint64)
     last = len(ids) - 1
-    for j in range(int(spots[-1].max(initial=-1)) + 1):
-        symbol = np.where(at < sizes, ids[np.minimum(starts + at, last)].astype(np.int64) + 1, 0).astype(np.uint64)
-        for spot in spots:
-            keys = np.where(spot == j, mix(keys * _SEED + symbol), keys)
-        at += (mix(symbol * _SEED ^ seeds[j]) >> np.uint64(63)).astype(np.int64)
-    return keys
+    for j in range(steps):
+        symbol = np.where(at < ends, ids[np.minimum(at, last)] + 1, 0)
+        for part in events.get(j, ()):
+            keys[part] = mix(keys[part] * _SEED + symbol[part].astype(np.uint64))
+        if symbols < len(symbol):
+            at += (mix(marks ^ seeds[j]) >> np.uint64(63)).astype(np.int64)[symbol]
+        else:
+            at += (mix(marks[symbol] ^ seeds[j]) >> np.uint64(63)).astype(np.int64)
+    out = np.empty_like(keys)
+    out[order] = keys
+    return out
 
 
 def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -138,6 +153,7 @@ class Block:
                 rows.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]))
                 self.item_ids.append(item_id)
         self.vocabulary, self.items = vocabulary, rows
+        self.symbols = len(vocabulary) + 2
         sizes = np.array([len(r) for r in rows], dtype=np.int64)
         self.sizes = np.unique(sizes)
         if not rows:
@@ -155,17 +171,14 @@ class Block:
         least = int(self.sizes[0]) - 1
         # any window that passes has a part of ``least`` pairs with so many known ones
         self.least, self.dense = least, int((-(-self.need // -(-(self.sizes - 1) // least))).min())
+        # the slots of each item's pairs: a passage needs enough of them before it is aligned
+        self.slots = [np.unique(pair_slots(r, np.arange(len(r) - 1), self.pair_bits)) for r in rows]
         self.tables = []
         for k in range(REPEATS):
-            keys = sample_keys(flat, starts, sizes, k)
+            keys = sample_keys(flat, starts, sizes, k, self.symbols)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
 
-    def _number(self, token: str) -> int:
-        """The item word's number, 0 for other words, -1 for punctuation alone."""
-        word = normal(token)
-        return self.vocabulary.get(word, 0) if word else -1
-
     def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the windows of one text that pass the filter."""
         none = (np.empty(0, dtype=np.int64),) * 2
@@ -187,11 +200,10 @@ class Block:
                 break
             if need and not present >> int(bit) & 1:
                 continue
-            known = (sets >> bit) & np.uint64(1)
-            if known.sum() < need:
-                continue
-            total = np.concatenate([[0], np.cumsum(known, dtype=np.int64)])
-            count = total[size - 1 :] - total[: len(total) - size + 1]
+            if need and (total[size - 1 :] - total[: len(total) - size + 1]).max() < need:
+                continue  # too few pairs of items of any size
+            known = np.concatenate([[0], np.cumsum((sets >> bit) & np.uint64(1), dtype=np.int64)])
+            count = known[size - 1 :] - known[: len(known) - size + 1]
             at = np.flatnonzero(count >= need)
             starts.append(at)
             sizes.append(np.full(len(at), size))
@@ -201,7 +213,7 @@ class Block:
         """(window, item) index pairs that agree in one repetition at least."""
         found = []
         for k, (keys, order) in enumerate(self.tables):
-            mine = sample_keys(ids, starts, sizes, k)
+            mine = sample_keys(ids, starts, sizes, k, self.symbols)
             low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
             count = high - low
             window = np.repeat(np.arange(len(mine)), count)
@@ -214,12 +226,11 @@ class Block:
         hits: list[list[dict]] = [[] for _ in texts]
         if not self.items:
             return hits
-        known = Remembered(self._number, REMEMBER)
+        get = self.vocabulary.get
         held: list[tuple] = []
         waiting = 0
         for k, text in enumerate(texts):
-            ids = np.array(list(map(known.__getitem__, (text or "").split())), dtype=np.int64)
-            ids = ids[ids >= 0]
+            ids = np.array(list(map(get, words_of(text), repeat(0))), dtype=np.int64)
             starts, sizes = self.windows(ids)
             for a in range(0, len(starts), WINDOWS):
                 held.append((k, ids, starts[a : a + WINDOWS], sizes[a : a + WINDOWS]))
@@ -255,7 +266,11 @@ class Block:
             slack = int(allowed(len(row), self.similarity))
             low = max(int(at[a]) - slack, int(first[k]))
             high = min(int(at[b - 1]) + len(row) + slack, int(first[k] + lengths[k]))
-            distance, start, end = best_alignment(row, flat[low:high])
+            passage = flat[low:high]
+            pairs_of = pair_slots(passage, np.arange(len(passage) - 1), self.pair_bits)
+            if np.isin(pairs_of, self.slots[item[a]]).sum() < len(row) - 1 - 2 * slack:
+                continue
+            distance, start, end = best_alignment(row, passage)
             if distance <= slack:
                 hits[held[k][0]].append(
                     {
