@@ -12,7 +12,8 @@ of each order and language, so what is broadcast is bounded by parameters.
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 so is every text if no language could be learned; ties go to the language that
 comes first in order; equal texts get equal results; an empty table gives an
-empty table.  Texts are read whole.
+empty table; more than ``MAX_LANGUAGES`` languages are an error.  Texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ from meshscope.llm.common import Remembered, append, column, struct
 TRAIN_DOCS = 3000  # documents of each language the model is fitted on
 MAX_GRAMS = 50_000  # words, and n-grams of each order, kept for each language
 MIN_COUNT = 2  # a word seen once in training counts as unseen
+MAX_LANGUAGES = 500  # the model has a column for each
 ORDERS = (5, 4, 3, 2, 1)
 WORDS = 0  # the order number of whole words
 SMOOTHING = 0.5
@@ -69,6 +72,10 @@ _COUNTS = T.StructType(
 def sample(train: DataFrame, lang_col: str, key: Column, most: int) -> DataFrame:
     """At most ``most`` rows of each language: those with the least hash of ``key``."""
     totals = train.groupBy(column(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_total"))
+    known = totals.limit(MAX_LANGUAGES + 1).collect()
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = train.sparkSession.createDataFrame(known, totals.schema)  # bounded by the check
     hashed = train.withColumn("_hash", F.pmod(key, F.lit(1 << 40)) / F.lit(1 << 40))
     near = hashed.join(F.broadcast(totals), column(lang_col) == F.col("_lang")).filter(
         F.col("_hash") < 2.0 * most / F.col("_total")
@@ -159,16 +166,16 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", key: C
         .withColumn("rank", F.row_number().over(order))
         .filter((F.col("rank") <= MAX_GRAMS) & ((F.col("order") != WORDS) | (F.col("n") >= MIN_COUNT)))
         .select("lang", "order", "gram", "n", "total")
-        .toPandas()
+        .toArrow()
     )
-    languages = sorted(kept["lang"].unique())
+    languages = sorted(kept.column("lang").unique().to_pylist())
     place = {x: k for k, x in enumerate(languages)}
     index, logs = {}, {}
     for n in (WORDS, *ORDERS):
-        part = kept[kept["order"] == n]
+        part = kept.filter(pc.equal(kept.column("order"), n)).to_pandas()
         grams = sorted(part["gram"].unique())
         index[n] = {g: k for k, g in enumerate(grams)}
-        table = np.zeros((len(grams), len(languages)))
+        table = np.zeros((len(grams), len(languages)), dtype=np.float32)
         table[part["gram"].map(index[n]).astype(int), part["lang"].map(place).astype(int)] = part["n"]
         totals_ = np.ones(len(languages))
         for lang, total in part.groupby("lang")["total"].first().items():
