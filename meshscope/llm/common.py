@@ -81,10 +81,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def crc32_mod(doc_id: Column, n: int) -> Column:
-    return F.crc32(doc_id.cast("string")) % n
-
-
 class Remembered(dict):
     """``make(key)`` for each key, remembered in two bounded generations.
 

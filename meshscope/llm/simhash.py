@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshscope.llm.common import append, column, struct
+from meshscope.llm.common import append, struct
 from meshscope.llm.components import connected_components
 from meshscope.plans.iterate import Workspace
 
