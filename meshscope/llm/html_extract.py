@@ -6,8 +6,9 @@
 2. Every container votes, with its score relative to the page's best, for its
    generalised path (tags and classes from the root, digits as ``#``).  Spark
    adds up the votes per host and path; the paths with most votes win.
-3. Each page is extracted again from its container on the best winning path; a
-   page without one (another layout than its host's) uses its own best.
+3. Each page is extracted again from its containers on the best winning path, all
+   of them, as an article may be split; a page without one (another layout than
+   its host's) uses the path of its own best.
 
 Inside the container menus, headers, footers, sidebars, notices, adverts, forms,
 comments and scripts are left out; nothing else is dropped or cut.
@@ -259,17 +260,24 @@ class Page:
     def text(self, winners: list[str]) -> str:
         scores = self.scores()
         best = max(range(len(scores)), key=lambda k: (scores[k], k))
-        chosen = best
+        together: dict[str, float] = {}
+        for (path, *_), score in zip(self.containers, scores):
+            together[path] = together.get(path, 0.0) + score
+        chosen = self.containers[best][0]
         for path in winners:
-            there = [
-                k
-                for k, c in enumerate(self.containers)
-                if c[0] == path and scores[k] and scores[k] >= VOTE_FROM * scores[best]
-            ]
-            if there:
-                chosen = max(there, key=lambda k: (scores[k], -k))
+            if together.get(path) and together[path] >= VOTE_FROM * scores[best]:
+                chosen = path
                 break
-        return "\n\n".join(t for t, around in self.blocks if chosen in around)
+        there = self._on(chosen)
+        return "\n\n".join(t for t, around in self.blocks if not there.isdisjoint(around))
+
+    def _on(self, path: str) -> set[int]:
+        """The containers on a path; menus (mostly links) share only a path without a name."""
+        there = [k for k, c in enumerate(self.containers) if c[0] == path]
+        if path.rpartition(">")[2] in ("div", "td", "section", "center"):
+            running = [k for k in there if self.containers[k][1] > 2 * self.containers[k][2]]
+            there = running or there
+        return set(there)
 
 
 def host_of(url: Column) -> Column:

@@ -71,5 +71,28 @@ def test_host_consensus(spark):
     assert best["a.example"] == "html>body>div.story-#"
 
 
+@pytest.mark.parametrize("parts", [2, 3, 4, 7])
+def test_split_article_on_a_host_of_whole_ones(parts):
+    whole = f"<body><main><article class='body-1'><p>{LONG}</p></article></main></body>"
+    votes = h.Page(whole).votes()
+    winners = sorted(votes, key=lambda p: -votes[p])
+    assert winners[0].endswith("article.body-#")
+    chapters = [f"{LONG} Chapter {k}." for k in range(parts)]
+    split = "<div class='ad'>Buy</div>".join(f"<article class='body-{k}'><p>{c}</p></article>" for k, c in enumerate(chapters))
+    source = f"<body><main>{split}</main></body>"
+    assert text(source, winners) == "\n\n".join(chapters)
+    assert text(source) == "\n\n".join(chapters)
+
+
+def test_split_article_without_main():
+    source = f"<body><article><p>{LONG} {LONG}</p></article><p>x</p><article><p>{LONG}</p></article></body>"
+    assert text(source) == f"{LONG} {LONG}\n\n{LONG}"
+
+
+def test_menu_on_the_path_of_the_article():
+    source = f"<body><div><a href=/a>One</a> <a href=/b>Two</a></div><div><p>{LONG}</p></div><div><p>{LONG} 2</p></div></body>"
+    assert text(source, ["html>body>div"]) == f"{LONG}\n\n{LONG} 2"
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], PAGES)).count() == 0
