@@ -2,7 +2,7 @@
 
 1. Each page is parsed and its containers are scored: characters of running text
    below them, links discounted, with a bonus for the tags and classes that
-   articles use.
+   articles use.  One that is mostly links keeps a small share of its characters.
 2. Every container votes, with its score relative to the page's best, for its
    generalised path (tags and classes from the root, digits as ``#``).  Spark
    adds up the votes per host and path; the paths with most votes win.
@@ -33,6 +33,7 @@ from meshscope.plans.iterate import Workspace
 
 WINNERS = 5  # winning paths kept per host
 VOTE_FROM = 0.3  # relative score from which a container votes or is used
+LINK_SHARE = 0.05  # of its characters, the least score of a container
 MAX_PATH = 12  # levels of a path, from the innermost outwards
 
 _TOKEN = re.compile(
@@ -48,6 +49,7 @@ _ATTRIBUTE = re.compile(
     r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
     re.IGNORECASE,
 )
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,7 +116,7 @@ class Page:
         self._stack: list[tuple[str, bool, int, str]] = []  # tag, left out, container, path
         self._text: list[str] = []
         self._links = 0
-        self._in_link = False
+        self._link = 0  # depth of the stack at the open link
         self._left_out = 0
         self._open("html", "")
         self._read(source)
@@ -135,7 +137,7 @@ class Page:
                 continue
             tag = tag.lower()
             if tag == "a":
-                self._in_link = not token[2]
+                self._link = len(self._stack) if not token[2] and _HREF.search(token[4]) else 0
             elif tag in ("br", "hr", "img", "wbr"):
                 if tag == "hr":
                     self._flush()
@@ -159,7 +161,7 @@ class Page:
         if "&" in text:
             text = entities.unescape(text)
         self._text.append(text)
-        if self._in_link:
+        if self._link:
             self._links += len(text)
 
     def _flush(self) -> None:
@@ -235,6 +237,8 @@ class Page:
     def _pop(self) -> None:
         self._flush()
         self._left_out -= self._stack.pop()[1]
+        if self._link > len(self._stack):  # the block around the link ends
+            self._link = 0
 
     def _close(self, tag: str) -> None:
         if any(x[0] == tag for x in self._stack[1:]):
@@ -245,7 +249,7 @@ class Page:
             self._flush()
 
     def scores(self) -> list[float]:
-        return [max(0.0, chars - 2.0 * links) * bonus for _, chars, links, bonus in self.containers]
+        return [max(LINK_SHARE * chars, chars - 2.0 * links) * bonus for _, chars, links, bonus in self.containers]
 
     def votes(self) -> dict[str, float]:
         """Path -> the best relative score of a container on it."""
@@ -261,11 +265,13 @@ class Page:
         scores = self.scores()
         best = max(range(len(scores)), key=lambda k: (scores[k], k))
         together: dict[str, float] = {}
-        for (path, *_), score in zip(self.containers, scores):
+        chars: dict[str, int] = {}
+        for (path, n, *_), score in zip(self.containers, scores):
             together[path] = together.get(path, 0.0) + score
-        chosen = self.containers[best][0]
+            chars[path] = chars.get(path, 0) + n
+        chosen, whole = self.containers[best][0], self.containers[0][1]
         for path in winners:
-            if together.get(path) and together[path] >= VOTE_FROM * scores[best]:
+            if chars.get(path) and (together[path] >= VOTE_FROM * scores[best] or 2 * chars[path] >= whole):
                 chosen = path
                 break
         there = self._on(chosen)

@@ -94,5 +94,25 @@ def test_menu_on_the_path_of_the_article():
     assert text(source, ["html>body>div"]) == f"{LONG}\n\n{LONG} 2"
 
 
+BOOKS = [f"A long title of a book, number {k}" for k in range(9)]
+LINKED = "".join(f"<p><a href='/b{k}'>{b}</a></p>" for k, b in enumerate(BOOKS))
+
+
+@pytest.mark.parametrize("after", ["<div></div>", "<div>Contact us</div>", ""])
+def test_article_of_links(after):
+    source = f"<body><article>{LINKED}</article>{after}</body>"
+    assert text(source, ["html>body>article"]) == "\n\n".join(BOOKS)
+    assert text(source) == "\n\n".join(BOOKS)
+
+
+def test_anchors_are_no_links():
+    named = f"<body><article><p><a name=top>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><div>Contact us today</div></body>"
+    assert text(named) == "\n\n".join([LONG] * 3)
+    unclosed = f"<body><article><p><a href=/x>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><div>Contact us today</div></body>"
+    assert text(unclosed) == "\n\n".join([LONG] * 3)
+    around = h.Page(f"<body><a href=/x><div><h3>A title</h3><p>{LONG}</p></div></a><p>{LONG}</p></body>")
+    assert around.containers[0][2] == len("A title") + len(LONG)
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], PAGES)).count() == 0
