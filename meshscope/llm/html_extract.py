@@ -85,6 +85,20 @@ UNWANTED = frozenset(
     "discussion share sharing social related recommended recommendations recirc teaser "
     "teasers widget widgets skip hidden disclaimer copyright tags tagcloud".split()
 )
+# boxes whose id is read by its words, outside of article, main and sections; of other
+# elements an id is often a topic or a heading's text, so it has to be one of KNOWN_IDS
+BOXES = frozenset("div ul ol dl table tr td center details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+KNOWN_IDS = frozenset(
+    "ad ads adsense adbox advertisement sidebar navbar topbar breadcrumb breadcrumbs pagination comments "
+    "commentlist comment-list comment-section comments-section comment-form disqus disqus-thread respond "
+    "related-posts related-articles related-stories related-content related-links recommended-articles "
+    "recommended-posts share-buttons share-bar sharing-buttons social-share social-buttons social-links "
+    "newsletter-signup newsletter-form newsletter-box subscribe-form subscription-form signup-form "
+    "login-form search-form searchform search-box cookie-banner cookie-notice cookie-consent "
+    "gdpr-banner main-menu nav-menu site-nav site-footer site-header skip-link tag-cloud tagcloud".split()
+)
+_NUMBERED_ID = re.compile(r"(?:comment|div-gpt-ad|google-ads?|ad-slot|ad-unit|ad)-[\d-]+")
 # an <article> is left out for these only; its classes often name topics
 UNWANTED_ARTICLES = frozenset(
     "ad ads advert sponsored promo teaser teasers related comment comments respond reply".split()
@@ -197,9 +211,24 @@ class Page:
             return False
         if not self._by_class:
             return False
-        names = f"{has.get('class', '')} {has.get('id', '')}".split()
-        words = {w.lower() for n in names if not _LAYOUT.match(n) for w in _WORD.findall(n)}
-        return not words.isdisjoint(UNWANTED_ARTICLES if tag == "article" else UNWANTED)
+        unwanted = UNWANTED_ARTICLES if tag == "article" else UNWANTED
+        classes = self._words(has.get("class", ""))
+        if not classes.isdisjoint(unwanted):
+            return True
+        name = has.get("id", "")
+        if not name or tag in HEADINGS or self._words(name).isdisjoint(unwanted):
+            return False
+        if any(x[0] in HEADINGS for x in self._stack):
+            return False
+        known = name.strip().lower().replace("_", "-")
+        if known in KNOWN_IDS or _NUMBERED_ID.fullmatch(known):
+            return True
+        within = any(x[0] in ("article", "main", "section") for x in self._stack)
+        return tag in BOXES and not within and "section" not in classes
+
+    @staticmethod
+    def _words(names: str) -> set[str]:
+        return {w.lower() for n in names.split() if not _LAYOUT.match(n) for w in _WORD.findall(n)}
 
     def _open(self, tag: str, source: str) -> None:
         self._flush()

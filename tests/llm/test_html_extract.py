@@ -114,5 +114,45 @@ def test_anchors_are_no_links():
     assert around.containers[0][2] == len("A title") + len(LONG)
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='discussion'><p>part</p></section>",
+        "<section id='related-work' class='level2'><p>part</p></section>",
+        "<div id='tags'><p>part</p></div>",
+        "<p id='notice'>part</p>",
+        "<p><span id='disclaimer'>part</span></p>",
+        "<h2 id='share-prices'>part</h2>",
+        "<h2><span id='Search'>part</span></h2>",
+        "<h3 id='comments'>part</h3>",
+        "<h3><span id='Comments'>part</span></h3>",
+    ],
+)
+def test_topics_as_ids(part):
+    assert text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == f"{LONG}\n\npart\n\n{LONG}"
+    if not part.startswith("<div"):
+        assert text(f"<body><p>{LONG}</p>{part}<p>{LONG}</p></body>") == f"{LONG}\n\npart\n\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='comments'><p>no</p></section>",
+        "<ol><li id='comment-12'>no</ol>",
+        "<div id='Related_Posts'><p>no</p></div>",
+        "<section class='discussion'><p>no</p></section>",
+        "<div role='search'><p>no</p></div>",
+    ],
+)
+def test_known_parts_are_left_out(part):
+    assert text(f"<article><p>{LONG}</p>{part}</article>") == LONG
+    assert text(f"<body><div id='share'>no</div><article><p>{LONG}</p></article></body>") == LONG
+
+
+def test_topic_id_of_a_div_section():
+    part = "<div class='section' id='related-work'><p>part</p></div>"
+    assert text(f"<body><div><p>{LONG}</p>{part}</div></body>") == f"{LONG}\n\npart"
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], PAGES)).count() == 0
