@@ -3,7 +3,10 @@
 Items and texts are sequences of words (lower case, outer punctuation removed).
 A text is contaminated by an item of n words if some passage of it is within
 ``floor((1 - similarity) * n)`` word edits of the item.  The search looks at
-item-sized windows (n words) at every word of every text:
+item-sized windows (n words) at every word of every text.  Windows may reach
+beyond the text by up to the allowed edits, over places without a word, so that
+passages with words left out are met at the text's start and end and as a whole
+text shorter than the item:
 
 1. A lossless filter: within e edits a window keeps at least n - 1 - 2e of the
    item's word pairs, so windows with fewer pairs of items of n words are passed
@@ -167,7 +170,8 @@ class Block:
         for r in rows:
             slots = pair_slots(r, np.arange(len(r) - 1), self.pair_bits)
             self.pairs[slots] |= np.uint64(bit_of[len(r)])
-        self.need = np.maximum(0, self.sizes - 1 - 2 * allowed(self.sizes, similarity))
+        self.edits = allowed(self.sizes, similarity)
+        self.need = np.maximum(0, self.sizes - 1 - 2 * self.edits)
         least = int(self.sizes[0]) - 1
         # any window that passes has a part of ``least`` pairs with so many known ones
         self.least, self.dense = least, int((-(-self.need // -(-(self.sizes - 1) // least))).min())
@@ -180,31 +184,37 @@ class Block:
             self.tables.append((keys[order], order))
 
     def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the windows of one text that pass the filter."""
+        """(start, size) of the windows of one text that pass the filter.
+
+        A window of n words may start up to e words before the text and end up to
+        e words after it, if at least n - e of its words are in the text.
+        """
         none = (np.empty(0, dtype=np.int64),) * 2
-        if len(ids) <= self.least:
+        fitting = int(np.searchsorted(self.sizes - self.edits, len(ids), "right"))
+        if not fitting:
             return none
         both = np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0))
         if len(both) < self.dense:
             return none
-        sets = np.zeros(len(ids) - 1, dtype=np.uint64)
-        sets[both] = self.pairs[pair_slots(ids, both, self.pair_bits)]
+        pad = int(self.edits[fitting - 1])  # places without a word on either side
+        sets = np.zeros(len(ids) - 1 + 2 * pad, dtype=np.uint64)
+        sets[pad + both] = self.pairs[pair_slots(ids, both, self.pair_bits)]
         total = np.concatenate([[0], np.cumsum(sets > 0)])
         part = total[self.least :] - total[: len(total) - self.least]
         if part.max() < self.dense:
             return none
         starts, sizes = [], []
         present = int(np.bitwise_or.reduce(sets))
-        for size, need, bit in zip(self.sizes.tolist(), self.need.tolist(), self.bits):
-            if len(ids) < size:
-                break
+        listed = zip(self.sizes[:fitting].tolist(), self.edits.tolist(), self.need.tolist(), self.bits)
+        for size, edits, need, bit in listed:
             if need and not present >> int(bit) & 1:
                 continue
             if need and (total[size - 1 :] - total[: len(total) - size + 1]).max() < need:
                 continue  # too few pairs of items of any size
             known = np.concatenate([[0], np.cumsum((sets >> bit) & np.uint64(1), dtype=np.int64)])
             count = known[size - 1 :] - known[: len(known) - size + 1]
-            at = np.flatnonzero(count >= need)
+            first, last = pad - edits, pad + len(ids) - size + edits
+            at = np.flatnonzero(count[first : last + 1] >= need) - edits
             starts.append(at)
             sizes.append(np.full(len(at), size))
         return (np.concatenate(starts), np.concatenate(sizes)) if starts else none
@@ -227,14 +237,20 @@ class Block:
         if not self.items:
             return hits
         get = self.vocabulary.get
-        held: list[tuple] = []
+        held: list[tuple] = []  # text, its ids with the places around it, where it begins and ends, windows
         waiting = 0
         for k, text in enumerate(texts):
             ids = np.array(list(map(get, words_of(text), repeat(0))), dtype=np.int64)
             starts, sizes = self.windows(ids)
+            if not len(starts):
+                continue
+            before, after = max(0, -int(starts.min())), max(0, int((starts + sizes).max()) - len(ids))
+            bounds, starts = (before, before + len(ids)), starts + before
+            if before or after:
+                ids = np.pad(ids, (before, after))
             for a in range(0, len(starts), WINDOWS):
-                held.append((k, ids, starts[a : a + WINDOWS], sizes[a : a + WINDOWS]))
-                waiting += len(held[-1][2])
+                held.append((k, ids, bounds, starts[a : a + WINDOWS], sizes[a : a + WINDOWS]))
+                waiting += len(held[-1][3])
                 if waiting >= WINDOWS:
                     self._verify(held, hits)
                     held, waiting = [], 0
@@ -248,9 +264,9 @@ class Block:
         lengths = np.array([len(h[1]) for h in held])
         first = np.cumsum(lengths) - lengths
         flat = np.concatenate([h[1] for h in held])
-        starts = np.concatenate([h[2] + f for h, f in zip(held, first)])
-        sizes = np.concatenate([h[3] for h in held])
-        text = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+        starts = np.concatenate([h[3] + f for h, f in zip(held, first)])
+        sizes = np.concatenate([h[4] for h in held])
+        text = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
         pairs = self.meet(flat, starts, sizes)
         if not len(pairs):
             return
@@ -264,8 +280,9 @@ class Block:
         for a, b in zip(begin, [*begin[1:], len(at)]):
             k, row = int(where[a]), self.items[item[a]]
             slack = int(allowed(len(row), self.similarity))
-            low = max(int(at[a]) - slack, int(first[k]))
-            high = min(int(at[b - 1]) + len(row) + slack, int(first[k] + lengths[k]))
+            begins, ends = (int(first[k]) + x for x in held[k][2])
+            low = max(int(at[a]) - slack, begins)
+            high = min(int(at[b - 1]) + len(row) + slack, ends)
             passage = flat[low:high]
             pairs_of = pair_slots(passage, np.arange(len(passage) - 1), self.pair_bits)
             if np.isin(pairs_of, self.slots[item[a]]).sum() < len(row) - 1 - 2 * slack:
@@ -277,8 +294,8 @@ class Block:
                         "item_id": self.item_ids[item[a]],
                         "distance": distance,
                         "item_words": len(row),
-                        "start_word": low - int(first[k]) + start,
-                        "end_word": low - int(first[k]) + end,
+                        "start_word": low - begins + start,
+                        "end_word": low - begins + end,
                     }
                 )
 

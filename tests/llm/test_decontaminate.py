@@ -95,6 +95,46 @@ def test_against_exact_search(spark, make_docs):
     assert sorted(str(r["text"]) for r in clean.collect()) == sorted(str(r["row"]["text"]) for r in found if not r["hits"])
 
 
+def cut_passages(size, seed=5):
+    """(item, text, start, end): items with a fifth cut off at the text's ends or as the whole text."""
+    rng = random.Random(seed)
+    vocab, other = vocabulary(rng), ["".join(rng.choices("qrstuv", k=6)) for _ in range(200)]
+    for _ in range(20):
+        item = rng.choices(vocab, k=size)
+        rest, most = rng.choices(other, k=50), size // 5
+        head, tail = item[: size - most], item[most:]
+        one = rng.randrange(size)
+        yield "end", item, rest + head
+        yield "start", item, tail + rest
+        yield "whole head", item, head
+        yield "whole tail", item, tail
+        yield "one word less", item, item[:one] + item[one + 1 :]
+
+
+def test_cut_items_at_the_ends_of_a_text():
+    for size in (20, 40):
+        found = {}
+        for kind, item, words in cut_passages(size):
+            (hits,) = d.Block([(7, " ".join(item))], d.SIMILARITY).search([" ".join(words)])
+            found.setdefault(kind, []).append(len(hits))
+            for hit in hits:
+                assert 0 <= hit["start_word"] < hit["end_word"] <= len(words)
+                passage = words[hit["start_word"] : hit["end_word"]]
+                assert plain_distance(item, passage) == hit["distance"] <= size // 5
+        for kind, counts in found.items():
+            assert sum(map(bool, counts)) >= 0.95 * len(counts), (size, kind, sum(counts))
+
+
+def test_texts_shorter_than_the_item():
+    block = d.Block([(1, "a b c d e")], d.SIMILARITY)
+    texts = ["a b c d", "b c d e", "a b c", "a", "", None, "x a b c d", "b c d e x"]
+    want = [bool(t) and plain_distance("a b c d e".split(), t.split()) <= 1 for t in texts]
+    found = block.search(texts)
+    assert [bool(h) for h in found][2:6] == want[2:6] == [False] * 4
+    assert all(w or not h for w, h in zip(want, found))
+    assert found[0] and found[1]
+
+
 def test_blocks_give_the_same_hits(spark, make_docs, monkeypatch):
     items, rows = planted(6)
     docs, benchmark = make_docs(rows), spark.createDataFrame(items, ITEMS)
