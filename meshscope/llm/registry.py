@@ -14,6 +14,7 @@ from meshscope.llm import (
     line_crf,
     line_dedup,
     packing,
+    periodic_runs,
     quality_rules,
     sharding,
     simhash,
@@ -109,6 +110,53 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.inline("hits"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in documents whose hash ends in 0 the words from one on repeat a period.
+
+    With n words, h = crc32 of the id and g = floor(h / 10): if h % 10 = 0, word i >= a = g % n
+    becomes word a + (i - a) % p, p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    told = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    told = told.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    a = F.col("g") % F.col("n")
+    told = told.select("*", a.alias("a"), (1 + F.floor((F.col("n") - a) / (3 + F.col("g") % 8))).alias("p"))
+    repeated = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda i: F.element_at(
+            "words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int") + 1
+        ),
+    )
+    text = F.when(F.col("words").isNotNull() & (F.col("n") > 0), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return told.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs, keep=["doc_id"])
+    longer = F.col("runs")
+    best = F.aggregate(
+        longer,
+        F.try_element_at(longer, F.lit(1)),
+        lambda top, r: F.when(r["length"] * top["period"] > top["length"] * r["period"], r).otherwise(top),
+    )
+    lines = F.transform(
+        longer,
+        lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")),
+    )
+    return found.withColumn("top", best).select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
@@ -120,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 def _sharding_sql() -> str:
