@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshscope.llm import (
     decontaminate,
+    hard_negatives,
     html_extract,
     language_id,
     line_crf,
@@ -157,6 +158,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform(
+        F.col("embedding").cast("array<double>"),
+        lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(256 * x)),
+    )
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), whole.alias("embedding"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
@@ -169,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 def _sharding_sql() -> str:
@@ -186,4 +198,29 @@ def _sharding_sql() -> str:
     """
 
 
-ORACLE_SQL: dict[str, str] = {"op5_sharding": _sharding_sql()}
+_HARD_NEGATIVES_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id AS row_id, a.label = c.label AS same,
+           CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+p AS (
+    SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, row_id) AS INTEGER) AS rank,
+       row_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": _sharding_sql(),
+    "op13_hard_negatives": _HARD_NEGATIVES_SQL,
+}
