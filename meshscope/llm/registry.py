@@ -19,6 +19,7 @@ from meshscope.llm import (
     quality_rules,
     sharding,
     simhash,
+    suffix_tree,
     url_filter,
 )
 from meshscope.llm.common import held_out
@@ -158,6 +159,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    tree = suffix_tree.fit(docs.filter(~out))
+    found = suffix_tree.score(docs.withColumn("held_out", out), tree, keep=["doc_id", "held_out"])
+    return found.select(
+        "row.doc_id",
+        "row.held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(tree.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.transform(
         F.col("embedding").cast("array<double>"),
@@ -180,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_suffix_tree": op12_suffix_tree,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

@@ -34,9 +34,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_P1, _P2, _P3, _P4, _P5 = (  # the constants of XXH64
+    np.uint64(x)
+    for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _xxh64(x: np.ndarray, seed) -> np.ndarray:
+    """XXH64 of the eight bytes of each number."""
+    x = x * _P2
+    h = (seed + _P5 + np.uint64(8)) ^ (((x << np.uint64(31)) | (x >> np.uint64(33))) * _P1)
+    h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The key of an ordered pair of keys."""
-    return mix(a * _BASE + mix(b))
+    """The key of an ordered pair of keys: ``xxhash64(a, b)`` of the engine."""
+    return _xxh64(b, _xxh64(a, np.uint64(42)))
 
 
 def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
