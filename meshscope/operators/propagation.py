@@ -15,32 +15,39 @@ with an owner that never gets a score, never complete and are absent.
 
 Plan
 ----
-Scores never change once set, so rounds only touch the *frontier*:
-
-* ``edges``   : pair means joined once with the seed (one pass over the raw
-  edge list; written to the workspace).
-* ``state``   : per open company ``(sum w*v, sum w, open edge count)`` over
-  the edges resolved so far.
-* ``pending`` : edges without a seed score (fixed; written once, bucketed
-  on the owner id so no round re-shuffles it; an owner holding more than a
-  fair share of them is salted over several buckets).
-
-Round k joins the pending edges with the companies completed in round k-1
-(only those), aggregates the matches per company into the state of the
-open companies, and so closes the companies whose open count reaches zero.
-Each round writes one table (the new state) under the checkpoint folder, so
-the plan of a round never contains earlier rounds; the loop stops on an
-empty frontier.
+* ``edges``: pair means joined once with the seed (one pass over the raw edge
+  list; written).
+* ``state``: per company ``(sum w*v, sum w, open edge count)`` over the edges
+  with a seed score; companies without an open edge are complete in round 0.
+* A company with one open edge has a value that depends on that owner alone:
+  ``a + b * value(owner)``.  Such *chain* companies point to their owner, and
+  the pointers are followed by doubling (``plans.chains``), which composes the
+  affine maps and counts the steps: a chain of n companies takes log2(n)
+  rounds, whatever its depth.
+* ``pending``: the open edges of the other companies, redirected from a chain
+  company to the end of its chain (fixed; written once, bucketed on the owner,
+  an owner with more than a fair share salted over several buckets).  Round k
+  joins them with the companies completed in the round before and adds the
+  matches to the state of the companies they belong to.
+
+The state is log-structured: a round writes the new state of the companies it
+touched and no others; the current state of a company is its last version.
+When the versions since the last base outnumber the base, a new base of the
+companies still open is written.  So what is written follows the touched
+edges, not rounds times open companies.  ``iterations`` is carried along as a
+value (one more than the largest of the open owners), so it does not depend
+on how the rounds fell.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshscope.operators.quality import pair_means
+from meshscope.plans.chains import Chains, follow
 from meshscope.plans.iterate import Workspace
 from meshscope.sources import schemas as S
 
@@ -109,7 +116,7 @@ def run_opacity(
     workspace: Workspace | None = None,
     _hot_rows: int | None = None,
 ) -> OpacityRun:
-    """Run the frontier rounds to the fixed point; return the written tables (see module doc).
+    """Propagate to the fixed point; return the written tables (see module doc).
 
     ``edges`` are clean edges (O-03), ``seed`` person scores.  The loop ends
     when a round completes no company.  With ``max_rounds`` a run that would
@@ -127,72 +134,154 @@ def run_opacity(
     )
 
     cap, v = F.col(S.CAPITAL), F.col("v")
-    # A round's frontier: companies it closed with a defined value.  Counted
-    # while the round's state is written, so no extra job decides whether
-    # the loop continues.
-    closed = F.count_if((F.col("n_open") == 0) & (F.col("sw") != 0))
-    state, seen = ws.materialize_observed(
+    is_open = v.isNull()
+    state = ws.materialize(
         scored.groupBy(S.COMPANY).agg(
             F.coalesce(F.sum(cap * v), F.lit(0.0)).alias("swv"),
             F.coalesce(F.sum(F.when(v.isNotNull(), cap)), F.lit(0.0)).alias("sw"),
-            (F.count(F.lit(1)) - F.count(v)).alias("n_open"),
+            F.count_if(is_open).alias("n_open"),
+            # the open edge, where there is one
+            F.max(F.when(is_open, F.col(S.OWNER))).alias("to"),
+            F.max(F.when(is_open, cap)).alias("w"),
         ),
-        ("state", f"{ITER}=0"),
-        closed=closed,
+        "state",
     )
-    # Edges without a seed score.  Each is resolved exactly once: in the
-    # round after its owner completes.  So round k only joins this fixed
-    # set with the companies completed in round k-1, and nothing about the
-    # edges has to be rewritten between rounds.  NULL owners never match a
-    # score: their edges keep the company open through n_open only.
+    total = F.col("sw") + F.col("w")
+    is_chain = (F.col("n_open") == 1) & F.col("to").isNotNull() & (total != 0)
+    chains = follow(
+        state.filter(is_chain).select(
+            F.col(S.COMPANY).alias("node"),
+            "to",
+            (F.col("swv") / total).alias("a"),
+            (F.col("w") / total).alias("b"),
+            F.lit(1).cast("bigint").alias("steps"),
+        ),
+        ws,
+        "chains",
+        lambda p, q: {
+            "a": p("a") + p("b") * q("a"), "b": p("b") * q("b"), "steps": p("steps") + q("steps")
+        },
+    )
+    first = state.filter("n_open = 0").select(
+        F.col(S.COMPANY).alias(S.TAXPAYER), _score().alias(VALUE), F.lit(0).cast("bigint").alias(ITER)
+    )
+    closed = _close_open_companies(scored, state, ~is_chain, chains, first, ws, _hot_rows)
+    heads = ws.materialize(first.unionByName(closed), "heads")
+    known = heads.filter(F.col(VALUE).isNotNull()).withColumnRenamed(S.TAXPAYER, "to")
+    along = chains.ended.join(known, "to").select(
+        F.col("node").alias(S.TAXPAYER),
+        (F.col("a") + F.col("b") * F.col(VALUE)).alias(VALUE),
+        (F.col(ITER) + F.col("steps")).alias(ITER),
+    )
+    companies, seen = ws.materialize_observed(
+        heads.unionByName(along).withColumn(ITER, F.col(ITER).cast("int")),
+        ("companies",),
+        rounds=F.max(ITER),
+    )
+    rounds = seen["rounds"] or 0
+    if max_rounds is not None and rounds > max_rounds:
+        raise RuntimeError(f"more than {max_rounds} rounds are needed")
+    return OpacityRun(ws, scored, companies, rounds)
+
+
+def _close_open_companies(
+    scored: DataFrame, state: DataFrame, apart: Column, chains: Chains, first: DataFrame, ws: Workspace, hot_rows
+) -> DataFrame:
+    """(CONT_RUT, Value, iterations) of the companies that are open and ``apart`` from the chains.
+
+    ``first`` are the companies complete from the start.
+    """
+    blank = F.lit(None).cast("bigint").alias(ITER)
+    base, seen = ws.materialize_observed(
+        state.filter((F.col("n_open") > 0) & apart).select(S.COMPANY, "swv", "sw", "n_open", blank),
+        ("base", "base=0"),
+        rows=F.count(F.lit(1)),
+    )
+    nothing = first.filter(F.lit(False))
+    if not seen["rows"]:
+        return nothing
+    open_edges = (
+        scored.filter(F.col("v").isNull() & F.col(S.OWNER).isNotNull())
+        .join(base.select(S.COMPANY), S.COMPANY, "left_semi")
+        .select(S.COMPANY, S.OWNER, S.CAPITAL)
+    )
+    ended = chains.ended.withColumnRenamed("node", S.OWNER)
+    cap = F.col(S.CAPITAL)
     pending = ws.materialize_bucketed(
-        scored.filter(v.isNull() & F.col(S.OWNER).isNotNull()).select(
-            S.COMPANY, S.OWNER, S.CAPITAL
+        open_edges.join(ended, S.OWNER, "left").select(
+            S.COMPANY,
+            F.coalesce("to", S.OWNER).alias("via"),
+            F.coalesce(cap * F.col("a"), F.lit(0.0)).alias("aw"),
+            F.coalesce(cap * F.col("b"), cap).alias("bw"),
+            cap.alias("w"),
+            F.coalesce("steps", F.lit(0)).cast("bigint").alias("steps"),
         ),
         "pending",
-        key=S.OWNER,
+        key="via",
         spread=S.COMPANY,
-        _hot_rows=_hot_rows,
+        _hot_rows=hot_rows,
     )
-
-    k = 0
-    while seen["closed"]:
+    done = (F.col("n_open") == 0) & (F.col("sw") != 0)
+    frontier = first.filter(F.col(VALUE).isNotNull())
+    base_rows, bases, versions, rows, k = seen["rows"], 0, [], 0, 0
+    while True:
         k += 1
-        known = state.filter((F.col("n_open") == 0) & (F.col("sw") != 0)).select(
-            F.col(S.COMPANY).alias("_o"), _score().alias("_V")
-        )
+        known = frontier.select(F.col(S.TAXPAYER).alias("_o"), F.col(VALUE).alias("_V"), F.col(ITER).alias("_it"))
         delta = (
             pending.join(known, "_o")
             .groupBy(S.COMPANY)
             .agg(
-                F.sum(cap * F.col("_V")).alias("dwv"),
-                F.sum(cap).alias("dw"),
+                F.sum(F.col("aw") + F.col("bw") * F.col("_V")).alias("dwv"),
+                F.sum("w").alias("dw"),
                 F.count(F.lit(1)).alias("dn"),
+                F.max(F.col("_it") + F.col("steps")).alias("dit"),
             )
         )
-        open_state = state.filter(F.col("n_open") > 0)
-        updated = open_state.join(delta, S.COMPANY, "left").select(
+        touched = _states(base, versions, ws).join(ws.materialize(delta, "deltas", f"round={k}"), S.COMPANY)
+        columns = ["swv", "sw", "n_open", ITER]
+        now = F.max_by(F.struct(*columns), "version").alias("now")
+        step = touched.groupBy(S.COMPANY, "dwv", "dw", "dn", "dit").agg(now).select(
             S.COMPANY,
-            (F.col("swv") + F.coalesce(F.col("dwv"), F.lit(0.0))).alias("swv"),
-            (F.col("sw") + F.coalesce(F.col("dw"), F.lit(0.0))).alias("sw"),
-            (F.col("n_open") - F.coalesce(F.col("dn"), F.lit(0))).alias("n_open"),
+            (F.col("now.swv") + F.col("dwv")).alias("swv"),
+            (F.col("now.sw") + F.col("dw")).alias("sw"),
+            (F.col("now.n_open") - F.col("dn")).alias("n_open"),
+            F.greatest(f"now.{ITER}", "dit").alias(ITER),
         )
-        # Also companies that close with an undefined value end here.
-        ended = F.count_if(F.col("n_open") == 0)
-        state, seen = ws.materialize_observed(
-            updated, ("state", f"{ITER}={k}"), closed=closed, ended=ended
+        level, seen = ws.materialize_observed(
+            step, ("versions", f"version={k}"), closed=F.count_if(done), rows=F.count(F.lit(1))
         )
-        if max_rounds is not None and k > max_rounds and seen["ended"]:
-            raise RuntimeError(f"more than {max_rounds} rounds are needed")
-
-    # A company is closed (n_open = 0) in exactly one round's state table.
-    companies = (
-        ws.read_rounds("state", ITER, k)
-        .filter(F.col("n_open") == 0)
-        .select(F.col(S.COMPANY).alias(S.TAXPAYER), _score().alias(VALUE),
-                F.col(ITER).cast("int").alias(ITER))
+        versions.append(k)
+        rows += seen["rows"]
+        if not seen["closed"]:
+            break
+        frontier = level.filter(done).select(
+            F.col(S.COMPANY).alias(S.TAXPAYER), _score().alias(VALUE), (F.col(ITER) + 1).alias(ITER)
+        )
+        if rows >= base_rows:
+            last = F.max_by(F.struct(*columns), "version").alias("now")
+            whole = _states(base, versions, ws).groupBy(S.COMPANY).agg(last).select(S.COMPANY, "now.*")
+            bases += 1
+            base, seen = ws.materialize_observed(
+                whole.filter("n_open > 0"), ("base", f"base={bases}"), rows=F.count(F.lit(1))
+            )
+            base_rows, versions, rows = seen["rows"], [], 0
+            if not base_rows:
+                break
+    ws.drop_tables()
+    return (
+        ws.read_rounds("versions", "version", k, first=1)
+        .filter("n_open = 0")
+        .select(F.col(S.COMPANY).alias(S.TAXPAYER), _score().alias(VALUE), (F.col(ITER) + 1).alias(ITER))
     )
-    return OpacityRun(ws, scored, companies, k)
+
+
+def _states(base: DataFrame, versions: list[int], ws: Workspace) -> DataFrame:
+    """The base and the versions of the open companies' states since, with their ``version``."""
+    found = base.withColumn("version", F.lit(0))
+    for k in versions:
+        level = ws.spark.read.schema(base.schema).parquet(ws.path("versions", f"version={k}"))
+        found = found.unionByName(level.withColumn("version", F.lit(k)))
+    return found
 
 
 def opacity_index(edges: DataFrame, seed: DataFrame, **kw) -> DataFrame:
@@ -222,7 +311,7 @@ def incomplete_companies(scored_edges: DataFrame) -> DataFrame:
 
 
 def single_owner_check(
-    edges: DataFrame, seed: DataFrame, scores: DataFrame, tol: float = 1e-9
+    edges: DataFrame, seed: DataFrame, scores: DataFrame, tol: float = 1e-9, workspace: Workspace | None = None
 ) -> DataFrame:
     """O-20: a company with a single owner must carry that owner's score.
 
@@ -231,12 +320,15 @@ def single_owner_check(
     the owner's seed score ``Oscuridad_PN`` and ``Comp`` = 1 when they agree
     within ``tol``.
     """
-    single = (
+    ws = workspace or Workspace(edges.sparkSession, "single_owner")
+    # Written before it is joined, so the edges of one company can be split.
+    single = ws.materialize(
         pair_means(edges)
         .groupBy(S.COMPANY)
         .agg(F.count(S.OWNER).alias("N_SOCIOS"))
         .filter(F.col("N_SOCIOS") == 1)
-        .select(S.COMPANY)
+        .select(S.COMPANY),
+        "single",
     )
     sc = scores.select(F.col(S.TAXPAYER).alias(S.COMPANY), F.col(VALUE).alias(S.CHECK_COMPANY))
     sd = seed.select(F.col(S.TAXPAYER).alias(S.OWNER), F.col(S.SEED_VALUE).alias(S.CHECK_OWNER))

@@ -11,6 +11,7 @@ Only scalar tests (is the frontier empty?) reach the driver.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -42,12 +43,55 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A run folder under the checkpoint root holding one operator's tables."""
+    """A run folder under the checkpoint root holding one operator's tables.
 
-    def __init__(self, spark: SparkSession, name: str):
+    With a ``run_id`` the folder's name is fixed and the run can be resumed: a
+    manifest records each table once it is whole, with the metrics observed while
+    it was written, and a later run of the same steps with the same id (on the same
+    inputs) reads the recorded tables instead of writing them again.  A job that
+    lost its driver so goes on after its last whole round.
+
+    Folders without a ``run_id`` are deleted when the session's JVM ends, unless
+    ``cleanup`` was called before; those with one stay until ``cleanup``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, run_id: str | None = None):
         self.spark = spark
-        self.root = f"{checkpoint_root(spark)}/meshscope/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{checkpoint_root(spark)}/meshscope/{name}-{run_id or uuid.uuid4().hex[:12]}"
+        self.resumable = run_id is not None
         self._tables: list[str] = []
+        if not self.resumable:
+            path, fs = self._path(self.root)
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+
+    def _path(self, name: str):
+        """A Hadoop path and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _entry(self, parts: tuple[str, ...]) -> str:
+        return self.path("_manifest", "__".join("/".join(parts).split("/")) + ".json")
+
+    def _recorded(self, parts: tuple[str, ...]) -> dict | None:
+        """The metrics of a table that a run with this id has already written, else None."""
+        if not self.resumable:
+            return None
+        path, fs = self._path(self._entry(parts))
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _record(self, parts: tuple[str, ...], metrics: dict) -> None:
+        if self.resumable:
+            path, fs = self._path(self._entry(parts))
+            stream = fs.create(path, True)
+            stream.write(json.dumps(metrics).encode())
+            stream.close()
 
     def path(self, *parts: str) -> str:
         return "/".join((self.root,) + parts)
@@ -56,6 +100,7 @@ class Workspace:
         """A workspace in a subfolder of this one."""
         inner = Workspace.__new__(Workspace)
         inner.spark, inner.root, inner._tables = self.spark, self.path(name), self._tables
+        inner.resumable = self.resumable
         return inner
 
     @contextmanager
@@ -75,8 +120,10 @@ class Workspace:
     def materialize(self, df: DataFrame, *parts: str) -> DataFrame:
         """Write ``df`` as parquet at ``parts`` and return the re-read table."""
         target = self.path(*parts)
-        with self._transient_shuffles():
-            df.write.mode("overwrite").parquet(target, compression=CODEC)
+        if self._recorded(parts) is None:
+            with self._transient_shuffles():
+                df.write.mode("overwrite").parquet(target, compression=CODEC)
+            self._record(parts, {})
         # The schema is known: skip footer inference on the read-back.
         return self.spark.read.schema(df.schema).parquet(target)
 
@@ -90,10 +137,14 @@ class Workspace:
         continue.
         """
         target = self.path(*parts)
+        known = self._recorded(parts)
+        if known is not None:
+            return self.spark.read.schema(df.schema).parquet(target), known
         obs = Observation(f"meshscope_{uuid.uuid4().hex[:8]}")
         observed = df.observe(obs, *[m.alias(k) for k, m in metrics.items()])
         with self._transient_shuffles():
             observed.write.mode("overwrite").parquet(target, compression=CODEC)
+        self._record(parts, obs.get)
         return self.spark.read.schema(df.schema).parquet(target), obs.get
 
     def materialize_bucketed(
@@ -145,10 +196,10 @@ class Workspace:
         )
         return SaltedTable(self.spark.table(table), hot, key)
 
-    def read_rounds(self, name: str, column: str, rounds: int) -> DataFrame:
-        """The tables ``name/column=0 .. name/column=rounds``, and no others of the folder."""
+    def read_rounds(self, name: str, column: str, rounds: int, first: int = 0) -> DataFrame:
+        """The tables ``name/column=first .. name/column=rounds``, and no others of the folder."""
         base = self.path(name)
-        paths = [f"{base}/{column}={k}" for k in range(rounds + 1)]
+        paths = [f"{base}/{column}={k}" for k in range(first, rounds + 1)]
         return self.spark.read.option("basePath", base).parquet(*paths)
 
     def __enter__(self) -> "Workspace":
@@ -159,16 +210,18 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._path(self.path(name) if name else self.root)
+            fs.delete(path, True)
+
+    def drop_tables(self) -> None:
+        """Remove the bucketed tables of this run from the catalog."""
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
 
     def cleanup(self) -> None:
         """Delete the run folder (call once the results have been consumed)."""
-        for table in self._tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.drop_tables()
         self.drop("")
 
 
