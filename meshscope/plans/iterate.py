@@ -147,6 +147,19 @@ class Workspace:
         self._record(parts, obs.get)
         return self.spark.read.schema(df.schema).parquet(target), obs.get
 
+    def materialize_by(self, df: DataFrame, column: str, *parts: str) -> str:
+        """Write ``df`` as parquet with a folder for each value of ``column``; return the path."""
+        target = self.path(*parts)
+        if self._recorded(parts) is None:
+            with self._transient_shuffles():
+                df.write.mode("overwrite").partitionBy(column).parquet(target, compression=CODEC)
+            self._record(parts, {})
+        return target
+
+    def exists(self, path: str) -> bool:
+        found, fs = self._path(path)
+        return fs.exists(found)
+
     def materialize_bucketed(
         self, df: DataFrame, name: str, key: str, spread: str, _hot_rows: int | None = None
     ) -> "SaltedTable":

@@ -125,6 +125,11 @@ paths AS (
   UNION ALL
   SELECT paths.c, bag.o, paths.n * bag.m FROM paths JOIN bag ON paths.node = bag.c
 ),
+cyc_reach AS (
+  SELECT bag.c, bag.o AS node FROM bag JOIN cyc ON bag.c = cyc.c
+  UNION SELECT cyc_reach.c, bag.o FROM cyc_reach JOIN bag ON cyc_reach.node = bag.c
+),
+cyc_leaves AS (SELECT c, node FROM cyc_reach WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.c = cyc_reach.node)),
 uo AS (
   SELECT p.c AS RUT_SOCIEDAD, p.node AS RUT_SOCIO, s.CONT_RUT, CAST(sum(p.n) AS BIGINT) AS n_paths,
          FALSE AS above_cycle
@@ -132,7 +137,10 @@ uo AS (
   WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.c = p.node)
   GROUP BY p.c, p.node, s.CONT_RUT
   UNION ALL
+  SELECT r.c, r.node, s.CONT_RUT, CAST(NULL AS BIGINT), TRUE FROM cyc_leaves r LEFT JOIN seed s ON r.node = s.CONT_RUT
+  UNION ALL
   SELECT c, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), TRUE FROM cyc
+  WHERE c NOT IN (SELECT c FROM cyc_leaves)
 ),
 pool AS (
   SELECT RUT_SOCIEDAD, CAST(sum(n_paths) AS BIGINT) AS TOTAL,
@@ -155,12 +163,10 @@ RELATIONS = """rel AS (
     UNION ALL
     SELECT RUT_FAM, CONT_RUT FROM family WHERE CONT_RUT <> RUT_FAM)
 ),
-pairs AS (
-  SELECT a.RUT_SOCIEDAD, a.p AS RUT_SOCIO_1, b.p AS RUT_SOCIO_2, a.n * b.n AS n_pairs
-  FROM members a JOIN members b ON a.RUT_SOCIEDAD = b.RUT_SOCIEDAD AND a.p <> b.p
-),
 related AS (
-  SELECT pairs.* FROM pairs JOIN rel ON pairs.RUT_SOCIO_1 = rel.CONT_RUT AND pairs.RUT_SOCIO_2 = rel.RUT_FAM
+  SELECT a.RUT_SOCIEDAD, a.p AS RUT_SOCIO_1, b.p AS RUT_SOCIO_2, a.n * b.n AS n_pairs
+  FROM rel JOIN members a ON a.p = rel.CONT_RUT
+  JOIN members b ON b.p = rel.RUT_FAM AND b.RUT_SOCIEDAD = a.RUT_SOCIEDAD
 )"""
 
 
@@ -259,8 +265,8 @@ _ANOMALIES = """, anomalies AS (
 _SYMMETRIC_CLOSURE = """, sym AS (SELECT DISTINCT CONT_RUT, RUT_FAM FROM (
   SELECT a AS CONT_RUT, b AS RUT_FAM FROM lv UNION ALL SELECT b, a FROM lv)),
 related_c AS (
-  SELECT a.RUT_SOCIEDAD, a.p FROM members a JOIN members b ON a.RUT_SOCIEDAD = b.RUT_SOCIEDAD AND a.p <> b.p
-  JOIN sym ON a.p = sym.CONT_RUT AND b.p = sym.RUT_FAM
+  SELECT a.RUT_SOCIEDAD, a.p FROM sym JOIN members a ON a.p = sym.CONT_RUT
+  JOIN members b ON b.p = sym.RUT_FAM AND b.RUT_SOCIEDAD = a.RUT_SOCIEDAD AND a.p <> b.p
 ),
 fcc AS (SELECT RUT_SOCIEDAD, count(DISTINCT p) AS FAMILIARES FROM related_c GROUP BY RUT_SOCIEDAD)
 """
@@ -290,16 +296,19 @@ FROM e LEFT JOIN (SELECT * FROM res WHERE iterations < {R.BEFORE_ROUND}) p ON e.
         + "SELECT CONT_RUT, CAST(count(*) AS BIGINT) AS SOCIEDADES_RELACIONADAS FROM uo "
         "WHERE CONT_RUT IS NOT NULL GROUP BY CONT_RUT",
         "family_index_variant": fam_all
-        + f""", fc AS (
-  SELECT RUT_SOCIEDAD, count(DISTINCT RUT_SOCIO_1) AS FAMILIARES FROM related GROUP BY RUT_SOCIEDAD
+        + f""", sizes AS (
+  SELECT RUT_SOCIEDAD, count(CONT_RUT) AS TOTAL, count(CONT_RUT) = count(*) AS eligible FROM uo GROUP BY RUT_SOCIEDAD
 ),
-sizes AS (
-  SELECT RUT_SOCIEDAD, CASE WHEN NOT bool_or(above_cycle) THEN count(CONT_RUT) END AS TOTAL FROM uo GROUP BY RUT_SOCIEDAD
+fc AS (
+  SELECT a.RUT_SOCIEDAD, count(DISTINCT a.CONT_RUT) AS FAMILIARES
+  FROM rel JOIN uo a ON a.CONT_RUT = rel.CONT_RUT
+  JOIN uo b ON b.CONT_RUT = rel.RUT_FAM AND b.RUT_SOCIEDAD = a.RUT_SOCIEDAD
+  JOIN sizes s ON s.RUT_SOCIEDAD = a.RUT_SOCIEDAD AND s.eligible
+  GROUP BY a.RUT_SOCIEDAD
 )
 SELECT s.RUT_SOCIEDAD, CAST(fc.FAMILIARES AS BIGINT) AS FAMILIARES, CAST(s.TOTAL AS BIGINT) AS TOTAL,
-       {_r6('CAST(fc.FAMILIARES AS DOUBLE) / s.TOTAL * 100', 'TASA_FAMILIARIDAD')}, p.eligible
-FROM sizes s JOIN pool_flag p ON s.RUT_SOCIEDAD = p.RUT_SOCIEDAD
-LEFT JOIN fc ON s.RUT_SOCIEDAD = fc.RUT_SOCIEDAD""",
+       {_r6('CAST(fc.FAMILIARES AS DOUBLE) / s.TOTAL * 100', 'TASA_FAMILIARIDAD')}, s.eligible
+FROM sizes s LEFT JOIN fc ON s.RUT_SOCIEDAD = fc.RUT_SOCIEDAD""",
         "family_closure_two_hops": closure2
         + """SELECT DISTINCT CONT_RUT, RUT_FAM FROM (
   SELECT a AS CONT_RUT, b AS RUT_FAM FROM lv UNION ALL SELECT b, a FROM lv)""",
@@ -369,7 +378,12 @@ JOIN r0 ON cl.RUT_SOCIEDAD = r0.c JOIN seed s ON cl.RUT_SOCIO = s.CONT_RUT""",
         "ultimate_owners": owners + "SELECT RUT_SOCIEDAD, RUT_SOCIO, CONT_RUT, n_paths, above_cycle FROM uo",
         "companies_per_person": owners
         + "SELECT CONT_RUT, CAST(sum(n_paths) AS BIGINT) AS SOCIEDADES_RELACIONADAS FROM uo "
-        "WHERE CONT_RUT IS NOT NULL GROUP BY CONT_RUT",
+        "WHERE CONT_RUT IS NOT NULL AND NOT above_cycle GROUP BY CONT_RUT",
+        "owner_pool_distinct": owners
+        + """, d AS (
+  SELECT RUT_SOCIEDAD, CAST(count(CASE WHEN NOT above_cycle OR RUT_SOCIO IS NOT NULL THEN 1 END) AS BIGINT) AS TOTAL,
+         CAST(count(CONT_RUT) AS BIGINT) AS NONULOS FROM uo GROUP BY RUT_SOCIEDAD)
+SELECT RUT_SOCIEDAD, TOTAL, NONULOS, TOTAL = NONULOS AND TOTAL > 0 AS eligible FROM d""",
         "owner_pool": owners + "SELECT RUT_SOCIEDAD, TOTAL, NONULOS, eligible FROM pool_flag",
         "co_owner_pairs": fam_all
         + "SELECT RUT_SOCIEDAD, RUT_SOCIO_1, RUT_SOCIO_2, CAST(n_pairs AS BIGINT) AS n_pairs FROM related",
@@ -387,7 +401,7 @@ SELECT ENTIDAD, RUT_SOCIO, RUT_SOCIEDAD, PORCENTAJE_CAPITAL,
        CAST(floor(PORCENTAJE_CAPITAL / 10) * 10 AS INTEGER) AS BANDA,
        CAST(PORCENTAJE_CAPITAL AS VARCHAR) || '%' AS ETIQUETA, DIRECCION
 FROM x""",
-        "family_relations": _with(RELATIONS.split(",\npairs AS")[0])
+        "family_relations": _with(RELATIONS.split(",\nrelated AS")[0])
         + "SELECT CONT_RUT, RUT_FAM FROM rel",
         "family_closure": closure
         + """SELECT DISTINCT CONT_RUT, RUT_FAM FROM (

@@ -231,20 +231,30 @@ def single_owner_check(spark, d):
 
 # ---------------------------------------------------------------- owners
 
+def _long(c: str) -> F.Column:
+    """Path counts are decimals; those of the test tables fit 64 bits."""
+    return F.col(c).cast("bigint").alias(c)
+
+
 def ultimate_owners(spark, d):
-    return _owners(spark, d)
+    return _owners(spark, d).select(S.COMPANY, S.OWNER, S.TAXPAYER, _long(own.PATHS), own.ABOVE_CYCLE)
 
 
 def companies_per_person(spark, d):
-    return own.companies_per_person(_owners(spark, d))
+    return own.companies_per_person(_owners(spark, d)).select(S.TAXPAYER, _long("SOCIEDADES_RELACIONADAS"))
 
 
 def owner_pool(spark, d):
-    return own.owner_pool(_owners(spark, d))
+    return own.owner_pool(_owners(spark, d)).select(S.COMPANY, _long("TOTAL"), _long("NONULOS"), "eligible")
+
+
+def owner_pool_distinct(spark, d):
+    """O-15 over distinct owners, with the companies above ownership cycles."""
+    return own.owner_pool(_owners(spark, d), distinct=True)
 
 
 def owner_pool_small(spark, d):
-    return own.owner_pool(_owners(spark, d)).filter(F.col("TOTAL") <= SMALL_POOL)
+    return owner_pool(spark, d).filter(F.col("TOTAL") <= SMALL_POOL)
 
 
 def companies_per_person_distinct(spark, d):
@@ -254,7 +264,8 @@ def companies_per_person_distinct(spark, d):
 def co_owner_pairs(spark, d):
     owners = _owners(spark, d)
     members = own.pool_members(owners, own.owner_pool(owners))
-    return own.co_owner_pairs(members, _relations(spark, d))
+    pairs = own.co_owner_pairs(members, _relations(spark, d))
+    return pairs.select(S.COMPANY, "RUT_SOCIO_1", "RUT_SOCIO_2", _long("n_pairs"))
 
 
 def ego_network(spark, d):
@@ -277,7 +288,7 @@ def family_closure_sizes(spark, d):
 
 def family_index(spark, d):
     out = fam.family_index(_owners(spark, d), _relations(spark, d))
-    return out.select(S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"))
+    return out.select(S.COMPANY, "FAMILIARES", _long("TOTAL"), _r6("TASA_FAMILIARIDAD"))
 
 
 def family_index_variant(spark, d):
@@ -290,7 +301,7 @@ def family_index_closure(spark, d):
     """O-19 over pairs related within four relations; companies without such a pair are absent."""
     pairs = fam.family_closure(fam.family_closure_levels(fixture.family(spark, d), hops=4))
     out = fam.family_index(_owners(spark, d), pairs, unrelated_fill="drop")
-    return out.select(S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"))
+    return out.select(S.COMPANY, "FAMILIARES", _long("TOTAL"), _r6("TASA_FAMILIARIDAD"))
 
 
 def family_closure_two_hops(spark, d):
@@ -388,7 +399,7 @@ def job_companies(spark, d):
 
 def job_family_index(spark, d):
     return _job(spark, d, "family_index").select(
-        S.COMPANY, "FAMILIARES", "TOTAL", _r6("TASA_FAMILIARIDAD"))
+        S.COMPANY, "FAMILIARES", _long("TOTAL"), _r6("TASA_FAMILIARIDAD"))
 
 
 QUERIES: dict[str, Query] = {
@@ -418,6 +429,7 @@ QUERIES: dict[str, Query] = {
     "companies_per_person": companies_per_person,
     "owner_pool": owner_pool,
     "owner_pool_small": owner_pool_small,
+    "owner_pool_distinct": owner_pool_distinct,
     "companies_per_person_distinct": companies_per_person_distinct,
     "co_owner_pairs": co_owner_pairs,
     "ego_network": ego_network,

@@ -158,7 +158,7 @@ def test_companies_above_a_cycle_have_a_flag_and_no_paths(frames):
     edges, seed, _ = frames
     rows = ownership.ultimate_owners(edges, seed).collect()
     flagged = {(r.RUT_SOCIEDAD, r.RUT_SOCIO, r.n_paths) for r in rows if r.above_cycle}
-    assert flagged == {("E", None, None), ("F", None, None), ("G", None, None)}
+    assert flagged == {("E", None, None), ("F", None, None), ("G", "p1", None)}
     assert all(r.n_paths >= 1 for r in rows if not r.above_cycle)
 
 
