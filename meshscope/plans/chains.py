@@ -37,17 +37,17 @@ def follow(
 ) -> Chains:
     """Follow ``pointers`` (node, to, carried columns; one row per node) to the ends of the chains.
 
+    ``pointers`` is read twice and should be a projection of a written table.
     ``compose(a, b)`` gives the carried columns of a step a followed by a step b
     (functions from a column's name to the column).  With ``to_cycles`` the
     ``to`` of looped rows lie on their cycles, and all nodes of the cycles are
     among them.
     """
     carried = [c for c in pointers.columns if c not in ("node", "to")]
-    start = ws.materialize(pointers, f"{name}_pointers")
-    nodes = start.select(F.col("node").alias("_n"))
+    nodes = pointers.select(F.col("node").alias("_n"))
     seen = {"open": F.count_if("open"), "ended": F.count_if(~F.col("open"))}
     level, now = ws.materialize_observed(
-        start.join(nodes, start["to"] == nodes["_n"], "left").select(
+        pointers.join(nodes, F.col("to") == F.col("_n"), "left").select(
             "node", "to", *carried, F.col("_n").isNotNull().alias("open")
         ),
         (name, "jump=0"),
@@ -81,3 +81,20 @@ def follow(
                 break
     rows = ws.read_rounds(name, "jump", k).filter("NOT open").select("node", "to", *carried)
     return Chains(rows, level.filter("open").select("node", "to", *carried), k, ended, now["open"])
+
+
+def along(steps: DataFrame, ws: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """(node, via): the nodes of each chain from ``node`` on; (node, to): where it ends.  No cycles.
+
+    The nodes at a distance below 2**(k+1) are those below 2**k of the node, and of the one
+    2**k steps on.
+    """
+    found = follow(steps, ws, name)
+    level = steps.select("node", F.col("node").alias("via"))
+    for k in range(found.rounds):
+        ahead = ws.read_rounds(name, "jump", k, first=k).filter("open").select("node", "to")
+        further = level.select(F.col("node").alias("to"), "via")
+        level = ws.materialize(
+            level.unionByName(ahead.join(further, "to").select("node", "via")), f"{name}_along", f"round={k}"
+        )
+    return level, found.ended.select("node", "to")

@@ -33,6 +33,9 @@ OUTPUTS = [
     "score_histogram",
     "score_by_round",
     "completion_rate",
+    "describe_family",
+    "describe_anomalies",
+    "describe_high_opacity",
 ]
 
 
@@ -47,7 +50,8 @@ def run_job(raw: DataFrame, seed: DataFrame, family: DataFrame, target: str, **s
     with Workspace(spark, "job") as space:
         deduped = space.materialize(q.dedup_edges(raw), "deduped")
         clean = write(q.clean_edges(deduped), "edges")
-        write(q.capital_anomalies(deduped), "anomalies")
+        anomalies = write(q.capital_anomalies(deduped), "anomalies")
+        write(rep.describe(anomalies, ("CAPITAL", "UTILIDADES")), "describe_anomalies")
 
         run = prop.run_opacity(clean, seed, workspace=space.folder("opacity"), **seed_options)
         companies = write(run.companies, "opacity_companies")
@@ -57,9 +61,11 @@ def run_job(raw: DataFrame, seed: DataFrame, family: DataFrame, target: str, **s
         write(own.companies_per_person(owners), "companies_per_person")
         relations = space.materialize(fam.family_relations(family), "relations")
         index = fam.family_index(owners, relations, workspace=space.folder("family"))
-        write(index, "family_index", "family_index_copy")
+        index = write(index, "family_index", "family_index_copy")
+        write(rep.describe(index, ("FAMILIARES", "TOTAL", "TASA_FAMILIARIDAD")), "describe_family")
 
-        write(rep.high_opacity(companies, HIGH), "high_opacity")
+        high = write(rep.high_opacity(companies, HIGH), "high_opacity")
+        write(rep.describe(high, (prop.VALUE, prop.ITER)), "describe_high_opacity")
         write(rep.describe(companies, (prop.VALUE, prop.ITER)), "describe_scores")
         write(rep.score_histogram(companies), "score_histogram")
         write(rep.score_by_round(companies), "score_by_round")

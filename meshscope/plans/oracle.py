@@ -406,6 +406,24 @@ FROM x""",
         "family_closure": closure
         + """SELECT DISTINCT CONT_RUT, RUT_FAM FROM (
   SELECT a AS CONT_RUT, b AS RUT_FAM FROM lv UNION ALL SELECT b, a FROM lv)""",
+        "family_reach_sizes": closure
+        + "SELECT CAST(hop AS INTEGER) AS hop, CAST(count(*) AS BIGINT) AS n_pairs FROM lv GROUP BY hop",
+        "load_edges_rejects": _with()
+        + """, t AS (
+  SELECT RUT_SOCIEDAD AS c, coalesce(RUT_SOCIO, '') AS o,
+         CASE WHEN RUT_SOCIO LIKE '%3' THEN 'n/a' ELSE coalesce(CAST(PORCENTAJE_CAPITAL AS VARCHAR), '') END AS k,
+         coalesce(CAST(PORCENTAJE_UTILIDADES AS VARCHAR), '') AS u FROM ownership)
+SELECT CASE WHEN c LIKE '%7' AND o LIKE '%1' THEN concat_ws(';', c, o, k) ELSE concat_ws(';', c, o, k, u) END AS RECORD,
+       CASE WHEN c LIKE '%7' AND o LIKE '%1' THEN 'fields' ELSE 'PORCENTAJE_CAPITAL' END AS REASON
+FROM t WHERE (c LIKE '%7' AND o LIKE '%1') OR o LIKE '%3'""",
+        "load_edges_accepted": _with()
+        + f"""SELECT {EDGE_COLS} FROM ownership
+WHERE NOT (RUT_SOCIEDAD LIKE '%7' AND RUT_SOCIO LIKE '%1') AND RUT_SOCIO NOT LIKE '%3'""",
+        "sorted_lookup": _with() + f"SELECT {EDGE_COLS} FROM clean WHERE starts_with(RUT_SOCIEDAD, '{R.LOOKUP_PREFIX}')",
+        "last_edges": _with()
+        + """SELECT RUT_SOCIO, RUT_SOCIEDAD, PORCENTAJE_CAPITAL, PORCENTAJE_UTILIDADES FROM clean
+QUALIFY row_number() OVER (PARTITION BY RUT_SOCIO, RUT_SOCIEDAD
+                           ORDER BY PORCENTAJE_CAPITAL DESC, PORCENTAJE_UTILIDADES DESC) = 1""",
         "family_closure_sizes": closure
         + "SELECT CAST(hop AS INTEGER) AS hop, CAST(count(*) AS BIGINT) AS n_pairs FROM lv GROUP BY hop",
         "family_index": fam_all

@@ -92,6 +92,42 @@ def load_edges(spark, d):
     return readers.load_edges(spark, path, fmt="csv", sep=";")
 
 
+def _rejected_lines(spark, d):
+    """The edge table as ';'-separated lines, some without a number, some without their last field."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (S.COMPANY, S.OWNER, S.CAPITAL, S.PROFIT)]
+    text[2] = F.when(F.col(S.OWNER).endswith("3"), F.lit("n/a")).otherwise(text[2])
+    cut = F.col(S.COMPANY).endswith("7") & F.col(S.OWNER).endswith("1")
+    line = F.when(cut, F.concat_ws(";", *text[:3])).otherwise(F.concat_ws(";", *text))
+    ws = Workspace(spark, "rejects")
+    _raw(spark, d).select(line.alias("line")).write.text(ws.path("lines"))
+    return readers.read_with_rejects(spark, ws.path("lines"), S.OWNERSHIP, ws, sep=";", header=False)
+
+
+def load_edges_rejects(spark, d):
+    """O-01: the lines of a CSV that do not parse, with the reason."""
+    return _rejected_lines(spark, d)[1]
+
+
+def load_edges_accepted(spark, d):
+    """O-01: the typed rows of the same scan."""
+    return _rejected_lines(spark, d)[0]
+
+
+def sorted_lookup(spark, d):
+    """O-02, O-09: a prefix lookup on a sorted sink."""
+    ws = Workspace(spark, "sorted")
+    writers.write_sorted(_clean(spark, d), ws.path("edges"), [S.COMPANY, S.OWNER, S.CAPITAL])
+    return q.entity_lookup(readers.load_edges(spark, ws.path("edges")), prefix=LOOKUP_PREFIX)
+
+
+def last_edges(spark, d):
+    """O-23: one edge per pair, the last in file order (files sorted, so it has the largest share)."""
+    ws = Workspace(spark, "last")
+    writers.write_sorted(_clean(spark, d), ws.path("edges"), [S.COMPANY, S.OWNER, S.CAPITAL, S.PROFIT])
+    edges = readers.read_positioned(spark, ws.path("edges"), S.OWNERSHIP)
+    return own.last_edges(edges, readers.POSITION)
+
+
 def write_round_trip(spark, d):
     """O-02: clean edges written once to two parquet targets, read back."""
     ws = Workspace(spark, "sink")
@@ -286,6 +322,10 @@ def family_closure_sizes(spark, d):
     return fam.closure_sizes(fam.family_closure_levels(fixture.family(spark, d), hops=4))
 
 
+def family_reach_sizes(spark, d):
+    return fam.reach_sizes(fixture.family(spark, d), hops=4)
+
+
 def family_index(spark, d):
     out = fam.family_index(_owners(spark, d), _relations(spark, d))
     return out.select(S.COMPANY, "FAMILIARES", _long("TOTAL"), _r6("TASA_FAMILIARIDAD"))
@@ -451,6 +491,11 @@ QUERIES: dict[str, Query] = {
     "high_score_histogram": high_score_histogram,
     "score_by_round": score_by_round,
     "load_seed": load_seed,
+    "load_edges_rejects": load_edges_rejects,
+    "load_edges_accepted": load_edges_accepted,
+    "sorted_lookup": sorted_lookup,
+    "last_edges": last_edges,
+    "family_reach_sizes": family_reach_sizes,
     "load_family": load_family,
     "load_groups": load_groups,
     "profit_anomalies": profit_anomalies,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshscope.functions.columns import decimal_text
+from meshscope.plans.iterate import Workspace
 from meshscope.sources import schemas as S
 
 
@@ -68,6 +69,59 @@ def read_table(
     return conform(raw, schema, strict=strict)
 
 
+REASON = "REASON"
+RECORD = "RECORD"
+
+
+def read_with_rejects(
+    spark: SparkSession, source: str, schema: T.StructType, workspace: Workspace, sep: str = ",", header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The typed rows of a CSV, and its rejects ``(RECORD, REASON)``, from one pass over the file.
+
+    A line is rejected if it has too few or too many fields (``fields``), or if a
+    field that is not empty is no number where one is declared (its column's name);
+    the first reason in the order of the columns is given.  The scan is written once.
+    """
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = (
+        spark.read.schema(texts.add(RECORD, T.StringType()))
+        .option("header", header)
+        .option("sep", sep)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", RECORD)
+        .csv(source)
+    )
+    typed, reason = [], F.when(F.col(RECORD).isNotNull(), F.lit("fields"))
+    for field in schema.fields:
+        text = F.col(field.name)
+        if isinstance(field.dataType, T.StringType):
+            typed.append(text.alias(field.name))
+            continue
+        number = decimal_text(text) if isinstance(field.dataType, T.NumericType) else text
+        value = number.try_cast(field.dataType)
+        typed.append(value.alias(field.name))
+        reason = reason.when(number.isNotNull() & value.isNull(), F.lit(field.name))
+    line = F.coalesce(RECORD, F.concat_ws(sep, *[F.coalesce(f.name, F.lit("")) for f in schema.fields]))
+    parsed = workspace.materialize(
+        raw.select(*typed, F.when(reason.isNotNull(), line).alias(RECORD), reason.alias(REASON)), "parsed"
+    )
+    good = parsed.filter(F.col(REASON).isNull()).select(*[f.name for f in schema.fields])
+    return good, parsed.filter(F.col(REASON).isNotNull()).select(RECORD, REASON)
+
+
+POSITION = "POSITION"
+
+
+def read_positioned(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
+    """The rows of a parquet folder with their place in it, ``POSITION`` (file, row of the file).
+
+    Files count in the order of their names, as a reader of the whole folder takes them.
+    """
+    raw = spark.read.parquet(source)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], place.alias(POSITION))
+
+
 def load_edges(spark: SparkSession, source: str, **kw) -> DataFrame:
     return read_table(spark, source, S.OWNERSHIP, **kw)
 

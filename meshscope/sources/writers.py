@@ -37,6 +37,19 @@ def write_table(
         raise ValueError(f"unknown format {fmt!r}")
 
 
+def write_sorted(df: DataFrame, path: str, by: Sequence[str], files: int | None = None, mode: str = "overwrite") -> None:
+    """Write parquet whose files, in the order of their names, are sorted by ``by`` as a whole.
+
+    Rows are range-partitioned on ``by`` (sampled bounds, no single task) and sorted
+    within each file, so the minima and maxima of files and row groups hardly overlap:
+    equality, prefix and threshold filters on the first column read few of them.  A
+    value that holds more than a file's share of the rows stays in one file unless
+    ``by`` names further columns to split it.
+    """
+    dealt = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).write.mode(mode).parquet(path)
+
+
 def write_many(df: DataFrame, paths: Sequence[str], **kw) -> None:
     """Write one result to several targets, computing it once."""
     if len(paths) == 1:

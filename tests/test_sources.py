@@ -1,0 +1,77 @@
+"""Rejects of a CSV scan, sorted sink, last edge of a pair, closure sizes by bitmaps."""
+
+import glob
+import random
+
+import pyarrow.parquet as pq
+
+from meshscope.operators import family, ownership, quality
+from meshscope.plans.iterate import Workspace
+from meshscope.sources import readers, writers
+from meshscope.sources import schemas as S
+
+EDGE = "RUT_SOCIEDAD string, RUT_SOCIO string, PORCENTAJE_CAPITAL double, PORCENTAJE_UTILIDADES double"
+
+
+def test_rejects(spark, tmp_path):
+    (tmp_path / "edges.csv").write_text("A;p1;10,5;1\nA;p2;;2\nB;p1;x;y\nB;p1;1\nC;p3;1;2;3\nD;p4; 7 ;-1\n")
+    good, bad = readers.read_with_rejects(
+        spark, str(tmp_path / "edges.csv"), S.OWNERSHIP, Workspace(spark, "rejects"), sep=";", header=False
+    )
+    assert sorted(map(tuple, good.collect()), key=str) == [
+        ("A", "p1", 10.5, 1.0), ("A", "p2", None, 2.0), ("D", "p4", 7.0, -1.0)]
+    assert sorted(map(tuple, bad.collect())) == [
+        ("B;p1;1", "fields"), ("B;p1;x;y", "PORCENTAJE_CAPITAL"), ("C;p3;1;2;3", "fields")]
+    assert good.schema == S.OWNERSHIP
+
+
+def _read(path, low, high):
+    """Row groups that may hold companies of [low, high), and all, by the files' statistics."""
+    met = total = 0
+    for name in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        at = [meta.schema.column(k).name for k in range(meta.num_columns)].index(S.COMPANY)
+        for k in range(meta.num_row_groups):
+            found = meta.row_group(k).column(at).statistics
+            total += 1
+            met += found.min < high and found.max >= low
+    return met, total
+
+
+def test_sorted_sink_skips_files(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(f"O{r.randrange(10**6):06d}", f"p{k}", float(k % 9), 1.0) for k in range(4000)]
+    rows += [("O500000", f"q{k}", 1.0, 1.0) for k in range(2000)]  # a third of the rows
+    df = spark.createDataFrame(rows, EDGE).repartition(8)
+    writers.write_table(df, str(tmp_path / "plain"))
+    writers.write_sorted(df, str(tmp_path / "sorted"), [S.COMPANY, S.OWNER], files=8)
+    met, total = _read(tmp_path / "sorted", "O24", "O25")
+    assert (met, total) in ((1, 8), (2, 8)) and _read(tmp_path / "plain", "O24", "O25") == (8, 8)
+    held = [pq.ParquetFile(n).metadata.num_rows for n in glob.glob(f"{tmp_path}/sorted/*.parquet")]
+    assert max(held) < 1600  # the hot company is split by its owners
+    found = [quality.entity_lookup(readers.load_edges(spark, str(tmp_path / x)), prefix="O24") for x in ("plain", "sorted")]
+    assert sorted(found[0].collect()) == sorted(found[1].collect())
+    names = sorted(glob.glob(f"{tmp_path}/sorted/*.parquet"))
+    whole = [x for n in names for x in zip(*[pq.read_table(n)[c].to_pylist() for c in (S.COMPANY, S.OWNER)])]
+    assert whole == sorted(whole)
+
+
+def test_last_edge_of_a_pair(spark, tmp_path):
+    rows = [("p1", "A", 1.0), ("p1", "B", 5.0), ("p1", "A", 9.0), ("p2", "A", 3.0), ("p1", "A", 2.0), (None, "A", 4.0)]
+    df = spark.createDataFrame([(c, o, w, w) for o, c, w in rows], EDGE).coalesce(1)
+    writers.write_table(df, str(tmp_path / "edges"))
+    want = {("p1", "A", 2.0), ("p1", "B", 5.0), ("p2", "A", 3.0), (None, "A", 4.0)}
+    for parts in (1, 5):
+        edges = readers.read_positioned(spark, str(tmp_path / "edges"), S.OWNERSHIP).repartition(parts)
+        got = ownership.last_edges(edges, readers.POSITION).collect()
+        assert {(r.RUT_SOCIO, r.RUT_SOCIEDAD, r.PORCENTAJE_CAPITAL) for r in got} == want and len(got) == 4
+
+
+def test_closure_sizes_by_bitmaps(spark):
+    r = random.Random(3)
+    rows = [(f"s{r.randrange(60)}", f"s{r.randrange(60)}", "X") for _ in range(110)] + [("s1", "s1", "X"), ("s2", None, "X")]
+    fam = spark.createDataFrame(rows, "CONT_RUT string, RUT_FAM string, TIPO_RELACION string")
+    levels = family.family_closure_levels(fam, hops=5)
+    want = sorted(map(tuple, family.closure_sizes(levels).collect()))
+    assert sorted(map(tuple, family.reach_sizes(fam, hops=5).collect())) == want
+    assert len(want) == 5 and family.reach_sizes(fam.limit(0)).collect() == []
