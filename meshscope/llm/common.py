@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 
 # Words of the contracts: runs of anything but space and \t..\r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_ASCII_SPACE = dict.fromkeys(range(0x09, 0x0E), " ")
+_OTHER_SPACE = "\t\n\x0b\x0c\r"
 
 
 def words_of(text: str) -> list[str]:
     """The words of ``text``: split at space and \\t..\\r only, unlike ``str.split()``."""
-    return [w for w in text.translate(_ASCII_SPACE).split(" ") if w]
+    for c in _OTHER_SPACE:
+        if c in text:
+            text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def column(name: str) -> Column:
@@ -94,8 +97,11 @@ class Remembered(dict):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self[key] = value

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from math import log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,14 @@ MEMORY = 8
 
 _PLAIN = re.compile(r"(?<!\S)[(\"'«¿¡]?[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)\"'»]?(?!\S)")
 _STOP = re.compile(r"[.!?](?=\s|$)")
+#: A character of which ``str.isdigit`` may be true.
+_DIGIT = re.compile(r"\d|[^\x00-\x7f]")
 LINE_FEATURES = 16
 FEATURES = 3 * LINE_FEATURES + 1  # the line's, the last one's, the next one's, and one constant
 WEIGHTS = FEATURES + 4  # and transitions: bad-bad, bad-good, good-bad, good-good
 
 
-def line_features(line: str, seen: set[str]) -> list[float]:
-    words = words_of(line)
+def line_features(line: str, words: list[str], seen: set[str]) -> list[float]:
     n, size = len(words), max(1, len(line))
     if not n:
         return [0.0] * (LINE_FEATURES - 1) + [1.0]
@@ -54,8 +56,8 @@ def line_features(line: str, seen: set[str]) -> list[float]:
     again = float(line in seen)
     seen.add(line)
     return [
-        np.log1p(n),
-        np.log1p(len(line)),
+        log1p(n),
+        log1p(len(line)),
         chars / n,
         sum(line.count(c) for c in SYMBOLS) / n,
         len(_PLAIN.findall(line)) / n,
@@ -64,10 +66,10 @@ def line_features(line: str, seen: set[str]) -> list[float]:
         line.count(",") / n,
         line.count("!") / n,
         float(line.rstrip()[-1] in ".!?\"'»)"),
-        distinct / np.sqrt(n),
+        distinct / sqrt(n),
         top / n,
         repeat / n,
-        sum(map(str.isdigit, line)) / size,
+        (sum(map(str.isdigit, line)) if _DIGIT.search(line) else 0) / size,
         again,
         0.0,
     ]
@@ -75,9 +77,11 @@ def line_features(line: str, seen: set[str]) -> list[float]:
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(lines, FEATURES) and the length of each line with a word (or of one empty line)."""
-    lines = [x for x in (text or "").split("\n") if words_of(x)] or [""]
+    split = [(x, words_of(x)) for x in (text or "").split("\n")]
+    split = [(x, words) for x, words in split if words] or [("", [])]
+    lines = [x for x, _ in split]
     seen: set[str] = set()
-    own = np.array([line_features(x, seen) for x in lines], dtype=np.float32)
+    own = np.array([line_features(x, words, seen) for x, words in split], dtype=np.float32)
     none = np.zeros((1, LINE_FEATURES), dtype=np.float32)
     last, next_ = np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])
     one = np.ones((len(own), 1), dtype=np.float32)

@@ -45,11 +45,30 @@ SIGNALS = struct(
 )
 
 
+SHORT = 64  # fewer words are counted without arrays
+
+
+def _repeated_in_short(words: list[str]) -> tuple[int, int, int]:
+    times: dict[str, int] = {}
+    for w in words:
+        times[w] = times.get(w, 0) + 1
+    n, distinct = len(words), len(times)
+    if n < 4 or distinct == n:
+        return 0, distinct, max(times.values())
+    windows = list(zip(words, words[1:], words[2:]))
+    seen: set[tuple[str, ...]] = set()
+    again = {x for x in windows if x in seen or seen.add(x)}
+    hit = {i + k for i, x in enumerate(windows) if x in again for k in range(3)} if again else ()
+    return len(hit), distinct, max(times.values())
+
+
 def repeated_words(words: list[str]) -> tuple[int, int, int]:
     """Words inside 3-word windows that occur at least twice; distinct words; the top word's count."""
     n = len(words)
     if not n:
         return 0, 0, 0
+    if n < SHORT:
+        return _repeated_in_short(words)
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
     distinct, top = len(number), int(np.bincount(ids).max())
