@@ -15,12 +15,10 @@ empty table gives an empty table.  Texts are tokenised whole.
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,16 +58,14 @@ class WordEncoder:
     """
 
     REMEMBER = 400_000
-    AT_ONCE = 1 << 19  # characters of the texts whose new words are encoded together
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.parts = Remembered(self._part, self.REMEMBER // 8)
+        self.parts = Remembered(self._part, self.REMEMBER)
         self.words = Remembered(self._word, self.REMEMBER)
 
     def _whole(self, text: str) -> bytes:
@@ -77,11 +73,13 @@ class WordEncoder:
         return np.array(ids, dtype="<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        as_letters = part.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(as_letters)]
-        return np.array(ids, dtype="<u4").tobytes()
+        if not part.isascii():
+            part = part.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one part
+            return self.parts[word]
         if not _COMMON.fullmatch(word):
             return self._whole(word)
         return b"".join(map(self.parts.__getitem__, _SPLIT.findall(word)))
@@ -90,17 +88,6 @@ class WordEncoder:
     def _normal(text: str) -> list[str]:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; words not seen before are given to the tokenizer together."""
-        for first, last in _together([len(t) for t in texts], self.AT_ONCE):
-            split = [None if self._unusual(t) else self._normal(t) for t in texts[first:last]]
-            new = set().union(*[words for words in split if words])
-            new = [w for w in new if w not in self.words and w not in self.words.older]
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.words.put(word, array("I", found.ids).tobytes())
-            for text, words in zip(texts[first:last], split):
-                yield self._whole(text) if words is None else b"".join(map(self.words.__getitem__, words))
-
     @staticmethod
     def _unusual(text: str) -> bool:
         return any(s in text for s in _SPECIAL) or bool(_ODD_SPACE.search(text))
@@ -111,18 +98,6 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, self._normal(text)))
 
 
-def _together(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters, one text at least."""
-    first = total = 0
-    for k, n in enumerate(sizes):
-        if k > first and total + n > most:
-            yield first, k
-            first, total = k, 0
-        total += n
-    if first < len(sizes):
-        yield first, len(sizes)
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -168,8 +143,8 @@ def pieces(
 
     def cut(texts):
         out = []
-        for ids in encoder(path).encode_all([text or "" for text in texts]):
-            ids += end
+        for text in texts:
+            ids = encoder(path).encode(text or "") + end
             parts = [ids[i : i + width] for i in range(0, len(ids), width)]
             out.append(
                 [
