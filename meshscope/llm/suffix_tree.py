@@ -19,7 +19,10 @@ that precedes a token, log(1 - kept); for each (state, follower) seen twice or m
 the difference it makes, log P(a|s) - log P(a|s') - log(1 - kept).  (Where one is
 known, so are all with shorter contexts.)  Scoring is therefore one join per context
 length of the n-grams of the texts with a table of weights, and a sum per text; no
-task holds the model.  N-grams that cannot have a weight are left out before the
+task holds the model.  N-grams are counted and joined in buckets, ranges of their
+keys that hold about ``HELD`` tokens each whatever the size of the corpus; a task
+sends an n-gram once for all its occurrences in what it has held, so a frequent one
+weighs no more in its bucket than another.  N-grams that cannot have a weight are left out before the
 shuffle by bit filters of a fixed size (``FILTER_BITS``; a full filter only lets more
 n-grams through).
 
@@ -38,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,35 +99,97 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _counter(level: int, before, after):
-    """A mapInArrow function from texts to (context, suffix, n) of what a task has held at once."""
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key: ranges of equal width, so that sorted keys have sorted buckets."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _bucket_of(key: Column, buckets: int) -> Column:
+    """The same in the engine."""
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(buckets).cast("long"), 32).cast("int")
+
+
+def _by_bucket(key: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys."""
+    bucket = _bucket(key, buckets)
+    cut = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))) if len(key) else np.zeros(0, dtype=np.int64)
+    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cut, [*cut[1:], len(key)])]
+
+
+def _word_counter(batches) -> Iterator[pa.RecordBatch]:
+    """From texts to (key, n) of what a task has held at once."""
+
+    def counted(held) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([_signed(key), pa.array(n)], names=["key", "n"])
+
+    held, n = [], 0
+    for batch in batches:
+        for _, part in slices(batch.column(0)):
+            held.append(_tokens(part)[0])
+            n += len(held[-1])
+            if n >= HELD:
+                yield counted(held)
+                held, n = [], 0
+    if n:
+        yield counted(held)
+
+
+def _counter(level: int, buckets: int, before, after):
+    """A mapInArrow function from texts to the n-grams of what a task has held at once, by bucket.
+
+    ``context``, ``suffix`` and ``n`` hold the 64-bit numbers of many n-grams.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for _, part in slices(batch.column(0)):
                 context, suffix, _text = _grams(part, level, before and before.value, after and after.value)
-                held.append((suffix if context is None else context, suffix))
+                held.append((context, suffix))
                 n += len(suffix)
                 if n >= HELD:
-                    yield counted(held)
+                    yield listed(held)
                     held, n = [], 0
         if n:
-            yield counted(held)
+            yield listed(held)
 
-    def counted(held) -> pa.RecordBatch:
+    def listed(held) -> pa.RecordBatch:
         context, suffix = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(paired(context, suffix) if level else suffix)
-        context, suffix = context[order], suffix[order]
-        new = np.flatnonzero(
-            np.concatenate([[True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])])
+        key, context, suffix, n = _counted(context, suffix, np.ones(len(context), dtype=np.int64))
+        parts = _by_bucket(key, buckets)
+        blobs = [[x[a:b].tobytes() for _, a, b in parts] for x in (context, suffix, n)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in parts], pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]],
+            names=["bucket", "context", "suffix", "n"],
         )
-        n = np.diff(np.append(new, len(order)))
-        return pa.RecordBatch.from_arrays([_signed(context[new]), _signed(suffix[new]), pa.array(n)], names=["context", "suffix", "n"])
 
     return run
 
 
+def _counted(context: np.ndarray, suffix: np.ndarray, n: np.ndarray):
+    """Sums of ``n`` for each different n-gram, sorted by key: key, context, suffix, n."""
+    key = paired(context, suffix)
+    order = np.argsort(key)
+    key, context, suffix, n = key[order], context[order], suffix[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    return key[new], context[new], suffix[new], np.add.reduceat(n, new) if len(key) else n
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The numbers in all values of a binary column."""
+    return np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """The n-grams of a bucket that occur twice or more, with their counts."""
+    _, context, suffix, n = _counted(
+        _column(table, "context", np.uint64), _column(table, "suffix", np.uint64), _column(table, "n", np.int64)
+    )
+    more = n > 1
+    return pa.table({"context": _signed(context[more]), "suffix": _signed(suffix[more]), "n": n[more]})
+
+
 def _bits(keys: DataFrame) -> np.ndarray:
     """A filter of ``FILTER_BITS`` bits: one bit for the highest bits of each key."""
     at = F.shiftrightunsigned("key", 64 - int(math.log2(FILTER_BITS))) + 1
@@ -149,6 +215,11 @@ class SuffixTree:
     weights: list[DataFrame]  # key, w; the first also n
     states: list[DataFrame]  # context, log10 of (1 - kept); for contexts of 1, 2, ... words
 
+    @property
+    def buckets(self) -> int:
+        """Into how many parts n-grams are dealt by key: about ``HELD`` tokens each."""
+        return max(32, -(-self.tokens // HELD))
+
     @property
     def root(self) -> float:
         """log10 of N + 0.1 (V + 1)."""
@@ -168,25 +239,27 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
     space = Workspace(spark, "suffix_tree")
     texts = docs.select(column(text_col).cast("string"))
 
-    def counts(level: int, before=None, after=None) -> DataFrame:
-        found = texts.mapInArrow(_counter(level, before, after), "context long, suffix long, n long")
-        if not level:
-            return found.groupBy(F.col("suffix").alias("key")).agg(F.sum("n").alias("n"))
-        return found.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-
     words, seen = space.materialize_observed(
-        counts(0), ("words",), tokens=F.sum("n"), types=F.count(F.lit(1))
+        texts.mapInArrow(_word_counter, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")),
+        ("words",),
+        tokens=F.sum("n"),
+        types=F.count(F.lit(1)),
     )
     tree = SuffixTree(space, seen["tokens"] or 0, seen["types"] or 0, [], [])
+    buckets = tree.buckets
+
+    def repeated(level: int, before, after) -> DataFrame:
+        found = texts.mapInArrow(
+            _counter(level, buckets, before, after), "bucket int, context binary, suffix binary, n binary"
+        )
+        return found.groupBy("bucket").applyInArrow(_repeated, "context long, suffix long, n long")
+
     totals = words  # key, n of what may be a context
     shares = words.select("key", _log_share(F.col("n"), tree.root).alias("lp"))
     parts: list[list[DataFrame]] = [[words.select("key", "n", _log_share(F.col("n"), tree.root).alias("w"))]]
     before = after = None
     for level in range(1, depth + 1):
-        grams = space.materialize(
-            counts(level, before, after).filter("n > 1").withColumn("key", F.xxhash64("context", "suffix")),
-            f"grams-{level}",
-        )
+        grams = space.materialize(repeated(level, before, after), f"grams-{level}")
         own = space.materialize(
             grams.groupBy("context").agg(
                 F.sum(F.col("n") - 1).alias("kept"), F.sum("n").alias("again"), F.count(F.lit(1)).alias("followers")
@@ -202,12 +275,16 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
         )
         lower = shares.select(F.col("key").alias("suffix"), F.col("lp").alias("lower"))
         p = (F.col("n") - 1) / F.col("total") + F.col("left") * F.pow(F.lit(10.0), "lower")
+        key = F.xxhash64("context", "suffix").alias("key")
         entries = space.materialize(
-            grams.join(tried, "context")
-            .join(lower, "suffix")
+            grams.join(lower, "suffix").select("context", key, "n", "lower")
+            .join(tried.select("context", "total", "left"), "context")
             .select("context", "key", "n", "lower", F.log10(p).alias("lp")),
             f"entries-{level}",
         )
+        # what may be a context of the next level
+        totals = space.materialize(grams.select(key, "n"), f"totals-{level}") if level < depth else None
+        space.drop(f"grams-{level}")
         gained = space.materialize(
             entries.groupBy("context").agg(F.sum(F.col("n") * (F.col("lp") - F.col("lower"))).alias("gain")),
             f"gained-{level}",
@@ -229,9 +306,9 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
         parts[level - 1].append(states.select(F.col("context").alias("key"), F.col("left").alias("w")))
         parts.append([retained.select("key", "w")])
         tree.states.append(states)
-        totals, shares = grams.select("key", "n"), retained.select("key", "lp")
+        shares = retained.select("key", "lp")
         if level < depth:
-            before = sc.broadcast(_bits(grams))
+            before = sc.broadcast(_bits(totals))
             # before the last level, all counts are needed: those of the next level's contexts
             after = sc.broadcast(_bits(retained)) if level + 1 == depth else before
     for level, found in enumerate(parts):
@@ -243,7 +320,7 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
             summed = found[0].withColumn("n", F.lit(None).cast("long")) if level else found[0]
         tree.weights.append(space.materialize(summed.select("key", "w", "n"), f"weights-{level}"))
     for level in range(1, depth + 1):
-        space.drop(f"grams-{level}", f"retained-{level}")
+        space.drop(f"totals-{level}", f"retained-{level}")
     space.drop("words")
     return tree
 
@@ -251,11 +328,11 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
 # ---- scoring ---------------------------------------------------------------------
 
 
-def _requests(level: int, known):
-    """A mapInArrow function from (uid, text) to (key, uid, places): the texts with an n-gram.
+def _requests(level: int, buckets: int, known):
+    """A mapInArrow function from (uid, text) to the n-grams of what a task has held, by bucket.
 
-    ``places`` holds pairs of 16-bit numbers: uid of a text less ``uid``, and how often
-    the n-gram occurs in it.
+    ``keys`` holds 64-bit numbers, ``uids`` for each of them the text that has it, less
+    ``uid``, and ``times`` how often (32-bit numbers); keys are sorted.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -268,17 +345,8 @@ def _requests(level: int, known):
                 if known is not None:
                     ok = _inside(known.value, key)
                     key, text = key[ok], text[ok]
-                uid = uids[first + text]
-                if held and len(uid) and (uid[-1] - held[0][1][0] > 65535 or uid[0] < held[-1][1][-1]):
-                    yield listed(held)
-                    held, n = [], 0
-                if len(uid) and uid[-1] - uid[0] > 65535:  # uids of several files in one slice
-                    cut = np.flatnonzero(np.diff(uid // 65536, prepend=-1))
-                    for a, b in zip(cut, [*cut[1:], len(uid)]):
-                        yield listed([(key[a:b], uid[a:b])])
-                elif len(uid):
-                    held.append((key, uid))
-                    n += len(key)
+                held.append((key, uids[first + text]))
+                n += len(key)
                 if n >= HELD:
                     yield listed(held)
                     held, n = [], 0
@@ -287,65 +355,74 @@ def _requests(level: int, known):
 
     def listed(held) -> pa.RecordBatch:
         key, uid = (np.concatenate(x) for x in zip(*held))
-        low = uid.min()
-        order = np.lexsort((uid, key))
-        key, at = key[order], (uid - low)[order]
+        # the texts in the order they came: few numbers instead of uids
+        low, at = np.unique(uid, return_inverse=True)
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])]))
-        times = np.diff(np.append(new, len(key)))
-        key, at = key[new], at[new]
-        if len(times) and times.max() > 65535:  # a count too large for 16 bits is cut into several
-            parts = -(-times // 65535)
-            key, at = np.repeat(key, parts), np.repeat(at, parts)
-            full = np.full(len(key), 65535)
-            full[np.cumsum(parts) - 1] = times - (parts - 1) * 65535
-            times = full
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        data = np.stack([at, times], axis=1).astype("<u2")
-        ends = np.append(begin, len(key)).astype(np.int64) * 4
-        places = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data)]
-        ).cast(pa.binary())
+        times = np.diff(np.append(new, len(key))).astype(np.uint32)
+        key, at = key[new], at[new].astype(np.uint32)
+        parts = _by_bucket(key, buckets)
+        blobs = [[], [], [], []]
+        for _, a, b in parts:
+            begin = np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
+            blobs[0].append(key[a:b][begin].tobytes())
+            blobs[1].append(np.diff(np.append(begin, b - a)).astype(np.uint32).tobytes())
+            blobs[2].append(at[a:b].tobytes())
+            blobs[3].append(times[a:b].tobytes())
+        texts = low.astype(np.int64).tobytes()
         return pa.RecordBatch.from_arrays(
-            [_signed(key[begin]), pa.array(np.full(len(begin), low)), places], names=["key", "uid", "places"]
+            [
+                pa.array([k for k, _, _ in parts], pa.int32()),
+                *[pa.array(x, pa.binary()) for x in blobs],
+                pa.array([texts] * len(parts), pa.binary()),
+            ],
+            names=["bucket", "keys", "sizes", "places", "times", "uids"],
         )
 
     return run
 
 
-def _summed(root: float):
-    """A mapInArrow function from (uid, places, w, n) to sums for each text of what a task has held."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = batch.column(1).cast(pa.large_binary())
-            ends = np.frombuffer(places.buffers()[1], dtype=np.int64)[places.offset : places.offset + len(places) + 1]
-            data = np.frombuffer(places.buffers()[2], dtype="<u2")[ends[0] // 2 : ends[-1] // 2].reshape(-1, 2)
-            size = np.diff(ends) // 4
-            uid = np.repeat(batch.column(0).to_numpy(), size) + data[:, 0]
-            times = data[:, 1].astype(float)
-            count = batch.column(3).fill_null(0).to_numpy()
-            w = batch.column(2).fill_null(math.log10(SMOOTH) - root).to_numpy(zero_copy_only=False)
-            base = np.log10(count + SMOOTH) - root
-            held.append(
-                (uid, times, times * np.repeat(w, size), times * np.repeat(base, size), times * np.repeat(count > 0, size))
-            )
-            n += len(uid)
-            if n >= HELD:
-                yield added(held)
-                held, n = [], 0
-        if n:
-            yield added(held)
-
-    def added(held) -> pa.RecordBatch:
-        uid, *values = (np.concatenate(x) for x in zip(*held))
+_SUMS = ["uid", "tokens", "score", "base", "known"]
+
+
+def _weighed(level: int, root: float):
+    """A cogrouped function from a bucket's requests and weights to sums for each text."""
+
+    def run(asked: pa.Table, weights: pa.Table) -> pa.Table:
+        key = weights.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        w = weights.column("w").to_numpy()[order]
+        count = pa.compute.fill_null(weights.column("n"), 0).to_numpy()[order]
+        unknown = math.log10(SMOOTH) - root
+        parts = []
+        for row in asked.to_pylist():
+            keys = np.frombuffer(row["keys"], dtype=np.uint64)
+            size = np.frombuffer(row["sizes"], dtype=np.uint32)
+            times = np.frombuffer(row["times"], dtype=np.uint32).astype(float)
+            at = np.searchsorted(key, keys)
+            known = at < len(key)
+            known[known] = key[at[known]] == keys[known]
+            at = np.where(known, at, 0)
+            one = np.where(known, w[at], unknown if not level else 0.0) if len(key) else np.full(len(keys), 0.0 if level else unknown)
+            n = np.where(known, count[at], 0) if len(key) else np.zeros(len(keys))
+            uids = np.frombuffer(row["uids"], dtype=np.int64)
+            place = np.frombuffer(row["places"], dtype=np.uint32)
+            sums = [np.bincount(place, times * np.repeat(one, size), len(uids))]
+            if not level:
+                base = np.log10(n + SMOOTH) - root
+                values = (np.ones(len(keys)), base, n > 0)
+                sums += [np.bincount(place, times * np.repeat(v, size), len(uids)) for v in values]
+            met = np.flatnonzero(np.bincount(place, minlength=len(uids)))
+            parts.append((uids[met], *[x[met] for x in sums]))
+        if not parts:
+            return pa.table({n: pa.array([], pa.int64() if n == "uid" else pa.float64()) for n in _SUMS})
+        uid, *values = (np.concatenate(x) for x in zip(*parts))
         uids, at = np.unique(uid, return_inverse=True)
-        sums = [np.bincount(at, weights=v, minlength=len(uids)) for v in values]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(uids), *map(pa.array, sums)], names=["uid", "tokens", "score", "base", "known"]
-        )
+        added = [np.bincount(at, v, len(uids)) for v in values]
+        added += [np.zeros(len(uids))] * (4 - len(added))
+        return pa.table(dict(zip(_SUMS, [uids, added[1], added[0], added[2], added[3]])))
 
     return run
 
@@ -367,14 +444,16 @@ def score(docs: DataFrame, tree: SuffixTree, text_col: str = "text", keep: list[
     parts = []
     for level, weights in enumerate(tree.weights):
         known = spark.sparkContext.broadcast(_bits(weights)) if level else None
-        asked = texts.mapInArrow(_requests(level, known), "key long, uid long, places binary")
-        # unknown words have a weight as well, unknown longer n-grams none
-        met = asked.join(weights, "key", "inner" if level else "left").select("uid", "places", "w", "n")
-        sums = met.mapInArrow(
-            _summed(tree.root), "uid long, tokens double, score double, base double, known double"
+        asked = texts.mapInArrow(
+            _requests(level, tree.buckets, known),
+            "bucket int, keys binary, sizes binary, places binary, times binary, uids binary",
+        )
+        dealt = weights.withColumn("bucket", _bucket_of(F.col("key"), tree.buckets))
+        sums = (
+            asked.groupBy("bucket")
+            .cogroup(dealt.groupBy("bucket"))
+            .applyInArrow(_weighed(level, tree.root), "uid long, tokens double, score double, base double, known double")
         )
-        if level:
-            sums = sums.select("uid", "score", *[F.lit(0.0).alias(c) for c in ("tokens", "base", "known")])
         parts.append(
             space.materialize(
                 sums.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("tokens", "score", "base", "known")]),
