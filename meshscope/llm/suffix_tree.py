@@ -212,7 +212,7 @@ class SuffixTree:
     space: Workspace
     tokens: int  # N
     types: int  # V
-    weights: list[DataFrame]  # key, w; the first also n
+    weights: list[DataFrame]  # key, w (a key's rows add up), n (of tokens)
     states: list[DataFrame]  # context, log10 of (1 - kept); for contexts of 1, 2, ... words
 
     @property
@@ -311,28 +311,30 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
             before = sc.broadcast(_bits(totals))
             # before the last level, all counts are needed: those of the next level's contexts
             after = sc.broadcast(_bits(retained)) if level + 1 == depth else before
-    for level, found in enumerate(parts):
-        if len(found) > 1:
-            first = found[0] if level == 0 else found[0].withColumn("n", F.lit(None).cast("long"))
-            both = first.unionByName(found[1].withColumn("n", F.lit(None).cast("long")))
-            summed = both.groupBy("key").agg(F.sum("w").alias("w"), F.max("n").alias("n"))
-        else:
-            summed = found[0].withColumn("n", F.lit(None).cast("long")) if level else found[0]
-        tree.weights.append(space.materialize(summed.select("key", "w", "n"), f"weights-{level}"))
+    nothing = F.lit(None).cast("long").alias("n")
+    for level, (found, *more) in enumerate(parts):
+        rows = found.select("key", "w", "n" if not level else nothing)
+        for x in more:
+            rows = rows.unionByName(x.select("key", "w", nothing))
+        tree.weights.append(rows)
     for level in range(1, depth + 1):
-        space.drop(f"totals-{level}", f"retained-{level}")
-    space.drop("words")
+        space.drop(f"totals-{level}")
     return tree
 
 
 # ---- scoring ---------------------------------------------------------------------
 
 
+def _place_kind(n: int):
+    """The numbers of ``n`` places."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _requests(level: int, buckets: int, known):
     """A mapInArrow function from (uid, text) to the n-grams of what a task has held, by bucket.
 
-    ``keys`` holds 64-bit numbers, ``uids`` for each of them the text that has it, less
-    ``uid``, and ``times`` how often (32-bit numbers); keys are sorted.
+    ``keys`` holds 64-bit numbers, sorted, ``sizes`` how many texts have each; ``places``
+    are these texts' places in ``uids``, ``times`` how often each has the n-gram.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -361,7 +363,7 @@ def _requests(level: int, buckets: int, known):
         key, at = key[order], at[order]
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])]))
         times = np.diff(np.append(new, len(key))).astype(np.uint32)
-        key, at = key[new], at[new].astype(np.uint32)
+        key, at = key[new], at[new].astype(_place_kind(len(low)))
         parts = _by_bucket(key, buckets)
         blobs = [[], [], [], []]
         for _, a, b in parts:
@@ -392,9 +394,11 @@ def _weighed(level: int, root: float):
     def run(asked: pa.Table, weights: pa.Table) -> pa.Table:
         key = weights.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        key = key[order]
-        w = weights.column("w").to_numpy()[order]
+        key, w = key[order], weights.column("w").to_numpy()[order]
         count = pa.compute.fill_null(weights.column("n"), 0).to_numpy()[order]
+        if len(key):
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, w, count = key[new], np.add.reduceat(w, new), np.maximum.reduceat(count, new)
         unknown = math.log10(SMOOTH) - root
         parts = []
         for row in asked.to_pylist():
@@ -408,7 +412,7 @@ def _weighed(level: int, root: float):
             one = np.where(known, w[at], unknown if not level else 0.0) if len(key) else np.full(len(keys), 0.0 if level else unknown)
             n = np.where(known, count[at], 0) if len(key) else np.zeros(len(keys))
             uids = np.frombuffer(row["uids"], dtype=np.int64)
-            place = np.frombuffer(row["places"], dtype=np.uint32)
+            place = np.frombuffer(row["places"], dtype=_place_kind(len(uids)))
             sums = [np.bincount(place, times * np.repeat(one, size), len(uids))]
             if not level:
                 base = np.log10(n + SMOOTH) - root
