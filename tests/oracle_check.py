@@ -15,7 +15,7 @@ import duckdb
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings"]
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
