@@ -19,6 +19,7 @@ whole.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -42,11 +43,15 @@ SMOOTHING = 0.5
 REMEMBER = 100_000  # unseen words a task remembers
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Marks that go on with a word (letters are told from other word signs by ``str.isalpha``).
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M")
+_LETTERS = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters and marks with a letter; numbers such as ½ or Ⅷ are none."""
+    found = _LETTERS.findall((text or "").lower())
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, n: int) -> list[str]:

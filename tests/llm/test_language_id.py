@@ -60,3 +60,11 @@ def test_nothing_to_learn_from(make_docs):
     model = li.fit(make_docs([]))
     assert li.identify(make_docs([(1, "some words")]), model).first()["lang_pred"] == "und"
     assert li.identify(make_docs([]), model).count() == 0
+
+
+def test_words_are_letters_and_marks():
+    from meshscope.llm.language_id import words_of
+
+    assert words_of("½ ² ① Ⅷ 12 _ ٣") == []
+    assert words_of("हिन्दी x² Été a1b") == ["हिन्दी", "x²", "été", "a", "b"]
+    assert words_of("été l'eau") == ["été", "l", "eau"]
