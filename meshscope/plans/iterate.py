@@ -29,15 +29,18 @@ ROWS_PER_BUCKET = 100_000  # rows of a bucketed round table per bucket
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    ``spark.checkpoint.dir`` names it; a session without that setting (tests,
-    local runs) gets a folder under its warehouse directory, which every
-    executor of the session can reach as well.
+    ``spark.checkpoint.dir`` names it; a session without that setting gets a
+    folder under its warehouse directory, unless that is a machine's own folder
+    and the session has executors elsewhere.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match("file:|/", warehouse) and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_meshscope"
     return root.rstrip("/")
 
