@@ -41,7 +41,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +103,6 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _bucket_of(key: Column, buckets: int) -> Column:
-    """The same in the engine."""
-    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(buckets).cast("long"), 32).cast("int")
-
-
 def _by_bucket(key: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted keys."""
     bucket = _bucket(key, buckets)
@@ -316,9 +310,10 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
         rows = found.select("key", "w", "n" if not level else nothing)
         for x in more:
             rows = rows.unionByName(x.select("key", "w", nothing))
-        tree.weights.append(rows)
+        tree.weights.append(space.materialize(rows, f"weights-{level}"))
     for level in range(1, depth + 1):
-        space.drop(f"totals-{level}")
+        space.drop(f"totals-{level}", f"retained-{level}")
+    space.drop("words")
     return tree
 
 
@@ -358,8 +353,9 @@ def _requests(level: int, buckets: int, known):
     def listed(held) -> pa.RecordBatch:
         key, uid = (np.concatenate(x) for x in zip(*held))
         # the texts in the order they came: few numbers instead of uids
-        low, at = np.unique(uid, return_inverse=True)
-        order = np.lexsort((at, key))
+        other = np.concatenate([[True], uid[1:] != uid[:-1]])
+        low, at = uid[other], np.cumsum(other, dtype=np.uint32) - np.uint32(1)
+        order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])]))
         times = np.diff(np.append(new, len(key))).astype(np.uint32)
@@ -385,6 +381,40 @@ def _requests(level: int, buckets: int, known):
     return run
 
 
+def _weights_by_bucket(buckets: int):
+    """A mapInArrow function from (key, w, n) to the same by bucket, many in a row, keys sorted."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(
+                    (
+                        batch.column(0).to_numpy().view(np.uint64),
+                        batch.column(1).to_numpy(),
+                        batch.column(2).fill_null(0).to_numpy(),
+                    )
+                )
+                n += batch.num_rows
+            if n >= HELD // 2:
+                yield listed(held)
+                held, n = [], 0
+        if n:
+            yield listed(held)
+
+    def listed(held) -> pa.RecordBatch:
+        key, *values = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        parts = _by_bucket(key[order], buckets)
+        blobs = [[x[order[a:b]].tobytes() for _, a, b in parts] for x in (key, *values)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in parts], pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]],
+            names=["bucket", "key", "w", "n"],
+        )
+
+    return run
+
+
 _SUMS = ["uid", "tokens", "score", "base", "known"]
 
 
@@ -392,10 +422,11 @@ def _weighed(level: int, root: float):
     """A cogrouped function from a bucket's requests and weights to sums for each text."""
 
     def run(asked: pa.Table, weights: pa.Table) -> pa.Table:
-        key = weights.column("key").to_numpy().view(np.uint64)
+        kinds = {"key": np.uint64, "w": np.float64, "n": np.int64}
+        empty = not weights.num_rows
+        key, w, count = (np.zeros(0, k) if empty else _column(weights, c, k) for c, k in kinds.items())
         order = np.argsort(key)
-        key, w = key[order], weights.column("w").to_numpy()[order]
-        count = pa.compute.fill_null(weights.column("n"), 0).to_numpy()[order]
+        key, w, count = key[order], w[order], count[order]
         if len(key):
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, w, count = key[new], np.add.reduceat(w, new), np.maximum.reduceat(count, new)
@@ -452,7 +483,9 @@ def score(docs: DataFrame, tree: SuffixTree, text_col: str = "text", keep: list[
             _requests(level, tree.buckets, known),
             "bucket int, keys binary, sizes binary, places binary, times binary, uids binary",
         )
-        dealt = weights.withColumn("bucket", _bucket_of(F.col("key"), tree.buckets))
+        dealt = weights.select("key", "w", "n").mapInArrow(
+            _weights_by_bucket(tree.buckets), "bucket int, key binary, w binary, n binary"
+        )
         sums = (
             asked.groupBy("bucket")
             .cogroup(dealt.groupBy("bucket"))
