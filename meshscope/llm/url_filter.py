@@ -8,7 +8,10 @@ suspect).  A url without a rule is blocked if its host's distrust exceeds its
 trust and the threshold.
 
 Links are grouped to host edges before any shuffle of rows; ranks are tables of
-one row per host, written every few rounds.
+one row per host, written in every round, so that both sides of a round's join are
+plain scans and AQE can split a host with very many links.  The rounds end when no
+rank moves by more than ``SETTLED``; the change of all ranks shrinks by the
+damping in every round, so they do end.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule, and is allowed; a null html has no links; a host without seeds near it is
@@ -17,6 +20,8 @@ allowed; repeated rows get equal verdicts; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +38,8 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 DAMPING = 0.85
-ROUNDS = 20
-ROUNDS_PER_TABLE = 5
 THRESHOLD = 1e-6
+SETTLED = 1e-9  # ranks are rounded to 9 places
 
 
 def path_of(url: Column) -> Column:
@@ -90,14 +94,14 @@ def seeds(judged: DataFrame) -> DataFrame:
     ).filter("seed > 0").select("host", "kind", "seed")
 
 
-def propagate(start: DataFrame, edges: DataFrame, space: Workspace, rounds: int = ROUNDS) -> DataFrame:
+def propagate(start: DataFrame, edges: DataFrame, space: Workspace, settled: float = SETTLED) -> DataFrame:
     """(host, kind, rank): personalised PageRank of both kinds.
 
     Trust moves from src to dst, distrust from dst to src, each host sharing its
-    rank among its links by their counts.
+    rank among its links by their counts, until no rank moves by more than ``settled``.
     """
-    out = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    into = edges.groupBy("dst").agg(F.sum("links").alias("total"))
+    out = space.materialize(edges.groupBy("src").agg(F.sum("links").alias("total")), "out")
+    into = space.materialize(edges.groupBy("dst").agg(F.sum("links").alias("total")), "into")
     moves = space.materialize(
         edges.join(out, "src")
         .select(F.col("src").alias("host"), F.lit("trust").alias("kind"), F.col("dst").alias("to"), (F.col("links") / F.col("total")).alias("part"))
@@ -111,15 +115,29 @@ def propagate(start: DataFrame, edges: DataFrame, space: Workspace, rounds: int
     ranks = start.withColumnRenamed("seed", "rank")
     if moves.isEmpty():
         return ranks
-    restart = start.select("host", "kind", ((1 - DAMPING) * F.col("seed")).alias("rank"))
-    for k in range(1, rounds + 1):
+    none = F.lit(0.0)
+    restart = start.select("host", "kind", ((1 - DAMPING) * F.col("seed")).alias("rank"), none.alias("before"))
+    for k in count(1):
         moved = ranks.join(moves, ["host", "kind"]).select(
-            F.col("to").alias("host"), "kind", (DAMPING * F.col("rank") * F.col("part")).alias("rank")
+            F.col("to").alias("host"),
+            "kind",
+            (DAMPING * F.col("rank") * F.col("part")).alias("rank"),
+            none.alias("before"),
+        )
+        old = ranks.select("host", "kind", none.alias("rank"), F.col("rank").alias("before"))
+        summed = (
+            restart.unionByName(moved)
+            .unionByName(old)
+            .groupBy("host", "kind")
+            .agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+        )
+        made, seen = space.materialize_observed(
+            summed, (f"ranks-{k}",), change=F.max(F.abs(F.col("rank") - F.col("before")))
         )
-        ranks = restart.unionByName(moved).groupBy("host", "kind").agg(F.sum("rank").alias("rank"))
-        if k % ROUNDS_PER_TABLE == 0 or k == rounds:
-            ranks = space.materialize(ranks, f"ranks-{k}")
-    return ranks
+        ranks = made.select("host", "kind", "rank")
+        space.drop(f"ranks-{k - 1}")
+        if (seen["change"] or 0.0) <= settled:
+            return ranks
 
 
 def judge_urls(

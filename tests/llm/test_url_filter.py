@@ -61,20 +61,22 @@ def test_propagation(spark):
         (None, None, links("good.org")),
         (4, "http://spam.net/", links("bad.com", "bad.com", "spam2.net")),
     ]
+    rows += [(100 + k, f"http://c{k}.net/", links(f"c{k + 1}.net" if k < 40 else "bad.com")) for k in range(41)]
     pages = spark.createDataFrame([(*r, "h", "r") for r in rows], PAGES)
     found = u.judge_urls(pages).collect()
     assert len(found) == len(rows)
     by_host = {r["host"]: r for r in found}
     edges = [(r["src"], r["dst"], r["links"]) for r in u.host_edges(pages).collect()]
     assert ("spam.net", "bad.com", 4) in edges and ("lonely.net", "friend.net", 1) in edges
-    trust = plain_ranks({"good.org": 1.0}, edges, u.ROUNDS)
-    distrust = plain_ranks({"bad.com": 1.0}, [(b, a, n) for a, b, n in edges], u.ROUNDS)
+    trust = plain_ranks({"good.org": 1.0}, edges, 500)
+    distrust = plain_ranks({"bad.com": 1.0}, [(b, a, n) for a, b, n in edges], 500)
     for host, r in by_host.items():
         assert abs(r["trust"] - trust.get(host, 0.0)) < 1e-8
         assert abs(r["distrust"] - distrust.get(host, 0.0)) < 1e-8
     verdicts = {h: r["verdict"] for h, r in by_host.items()}
     assert verdicts["friend.net"] == verdicts["victim.net"] == verdicts["good.org"] == verdicts[""] == "allow"
     assert verdicts["spam.net"] == verdicts["spam2.net"] == verdicts["bad.com"] == "block"
+    assert verdicts["c0.net"] == verdicts["c40.net"] == "block"  # 41 and one link from the seed
 
 
 def test_empty_table(spark):
