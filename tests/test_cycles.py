@@ -216,3 +216,39 @@ def test_follow(spark):
 
 def test_folders_go_with_the_session(spark):
     assert iterate.Workspace(spark, "gone").exists(iterate.Workspace(spark, "gone").root)
+
+
+def _chain_with_leaves(n, leaves):
+    pairs = [(f"c{k:02d}", f"c{k + 1:02d}", 1.0) for k in range(n - 1)]
+    return pairs + [(f"c{k:02d}", f"p{k:02d}_{i}", 1.0) for k in range(n) for i in range(leaves)]
+
+
+def test_leaves_are_not_written_one_by_one(spark, monkeypatch):
+    rows = []
+    for name in ("materialize", "materialize_observed"):
+        def counted(self, df, *parts, _written=getattr(Workspace, name), **metrics):
+            out = _written(self, df, *parts, **metrics)
+            rows.append((out[0] if isinstance(out, tuple) else out).count())
+            return out
+
+        monkeypatch.setattr(Workspace, name, counted)
+    pairs = _chain_with_leaves(32, 30)
+    owners = ownership.ultimate_owners(edges_of(spark, pairs), seed_of(spark, ["p00_0"]))
+    assert sum(rows) < owners.count() == 30 * 32 * 33 // 2
+
+
+@pytest.mark.parametrize("limit", [2, 10_000])
+def test_many_leaves_and_odd_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(ownership, "LEAVES_PER_LIST", limit)
+    monkeypatch.setattr(ownership, "LISTS_PER_TASK", 2)
+    pairs = _chain_with_leaves(5, 1) + [("c01", "c03", 1.0), ("c02", "p04_0", 1.0), ("c02", "p04_0", 2.0)]
+    pairs += [("c03", f"q{i}", 1.0) for i in range(7)] + [("d", "a\x01b", 1.0), ("d", "", 1.0), ("e", "", 1.0)]
+    persons = ["p04_0", "q1", "a\x01b", ""]
+    got = collected(ownership.ultimate_owners(edges_of(spark, pairs), seed_of(spark, persons)))
+    assert got == plain_owners(pairs, persons)
+
+
+def test_a_leaf_without_id(spark):
+    edges = edges_of(spark, [("a", "b", 1.0), ("a", None, 1.0), ("b", None, 1.0), ("b", "p", 1.0)])
+    got = {(r[0], r[1], r[2], int(r[3])) for r in ownership.ultimate_owners(edges, seed_of(spark, ["p"])).collect()}
+    assert got == {("a", None, None, 2), ("a", "p", "p", 1), ("b", None, None, 1), ("b", "p", "p", 1)}
