@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshscope.functions.columns import decimal_text
+from meshscope.functions.columns import decimal_point, decimal_text
 from meshscope.plans.iterate import Workspace
 from meshscope.sources import schemas as S
 
@@ -91,19 +91,23 @@ def read_with_rejects(
         .option("columnNameOfCorruptRecord", RECORD)
         .csv(source)
     )
-    typed, reason = [], F.when(F.col(RECORD).isNotNull(), F.lit("fields"))
-    for field in schema.fields:
-        text = F.col(field.name)
-        if isinstance(field.dataType, T.StringType):
-            typed.append(text.alias(field.name))
-            continue
-        number = decimal_text(text) if isinstance(field.dataType, T.NumericType) else text
-        value = number.try_cast(field.dataType)
-        typed.append(value.alias(field.name))
-        reason = reason.when(number.isNotNull() & value.isNull(), F.lit(field.name))
-    line = F.coalesce(RECORD, F.concat_ws(sep, *[F.coalesce(f.name, F.lit("")) for f in schema.fields]))
+    names = [f.name for f in schema.fields]
+    checked = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    # One step each, so a text is made a number, and a number cast, once a row.
+    trimmed = {f"_t_{f.name}": F.trim(F.col(f.name)) if isinstance(f.dataType, T.NumericType) else F.col(f.name) for f in checked}
+    numbers = {
+        f"_t_{f.name}": decimal_point(F.col(f"_t_{f.name}")) for f in checked if isinstance(f.dataType, T.NumericType)
+    }
+    values = {f"_v_{f.name}": F.col(f"_t_{f.name}").try_cast(f.dataType) for f in checked}
+    reason = F.when(F.col(RECORD).isNotNull(), F.lit("fields"))
+    for field in checked:
+        wrong = F.col(f"_t_{field.name}").isNotNull() & F.col(f"_v_{field.name}").isNull()
+        reason = reason.when(wrong, F.lit(field.name))
+    steps = raw.withColumns(trimmed).withColumns(numbers).withColumns(values).withColumn(REASON, reason)
+    line = F.coalesce(RECORD, F.concat_ws(sep, *[F.coalesce(n, F.lit("")) for n in names]))
+    typed = [F.col(f"_v_{f.name}" if f in checked else f.name).alias(f.name) for f in schema.fields]
     parsed = workspace.materialize(
-        raw.select(*typed, F.when(reason.isNotNull(), line).alias(RECORD), reason.alias(REASON)), "parsed"
+        steps.select(*typed, F.when(F.col(REASON).isNotNull(), line).alias(RECORD), REASON), "parsed"
     )
     good = parsed.filter(F.col(REASON).isNull()).select(*[f.name for f in schema.fields])
     return good, parsed.filter(F.col(REASON).isNotNull()).select(RECORD, REASON)

@@ -75,3 +75,20 @@ def test_closure_sizes_by_bitmaps(spark):
     want = sorted(map(tuple, family.closure_sizes(levels).collect()))
     assert sorted(map(tuple, family.reach_sizes(fam, hops=5).collect())) == want
     assert len(want) == 5 and family.reach_sizes(fam.limit(0)).collect() == []
+
+
+def test_rejects_cast_each_number_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "lines.csv").write_text("A;p; 1,5 ;2\nB;p;n/a;x\nC;p;3\nD;p;; \n")
+    plans = []
+    written = Workspace.materialize
+
+    def planned(self, df, *parts):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(self, df, *parts)
+
+    monkeypatch.setattr(Workspace, "materialize", planned)
+    good, bad = readers.read_with_rejects(
+        spark, str(tmp_path / "lines.csv"), S.OWNERSHIP, Workspace(spark, "once"), sep=";", header=False)
+    assert sorted(map(tuple, good.collect())) == [("A", "p", 1.5, 2.0), ("D", "p", None, None)]
+    assert sorted(map(tuple, bad.collect())) == [("B;p;n/a;x", S.CAPITAL), ("C;p;3", "fields")]
+    assert plans[0].count("try_cast") == 2
