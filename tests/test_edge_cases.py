@@ -1,6 +1,7 @@
 """Separate small cases of FIXTURES.md §3 and the readers / writers."""
 
 import os
+import random
 import tempfile
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from meshscope.functions import quantiles
 from meshscope.operators import family, ownership, propagation, quality, report
 from meshscope.sources import readers, writers
+from meshscope.sources import schemas as S
 
 EDGE_SCHEMA = (
     "RUT_SOCIEDAD string, RUT_SOCIO string, PORCENTAJE_CAPITAL double, PORCENTAJE_UTILIDADES double"
@@ -152,3 +154,26 @@ def test_quality_profile(spark):
     anomalies = quality.capital_anomalies(quality.dedup_edges(raw)).collect()
     assert {r.RUT_SOCIEDAD for r in anomalies} == {"A"}
     assert quality.entity_lookup(raw, prefix="p", columns=("RUT_SOCIO",)).count() == 4
+
+
+@pytest.mark.parametrize("members_per_row, others_per_row", [(10_000, 1_000), (4, 1_000), (10_000, 1), (4, 1)])
+def test_related_pairs_of_lists_and_rows(spark, monkeypatch, members_per_row, others_per_row):
+    """Pools in one row, and members of large pools and hubs row by row, give the same pairs."""
+    monkeypatch.setattr(ownership, "MEMBERS_PER_ROW", members_per_row)
+    monkeypatch.setattr(ownership, "OTHERS_PER_ROW", others_per_row)
+    rng = random.Random(5)
+    members = [(f"O{c}", f"C{p}", rng.randrange(1, 4)) for c in range(8) for p in rng.sample(range(12), 2 + c % 5)]
+    members += [("O0", "C20", None), ("O0", "C21", 2), (None, "C20", 1), (None, "C21", 1)]
+    related = {tuple(rng.sample(range(12), 2)) for _ in range(15)} | {(0, k) for k in range(1, 10)} | {(20, 21), (3, 3)}
+    links = {frozenset((f"C{a}", f"C{b}")) for a, b in related if a != b}
+    want = sorted(
+        (c, p, r, None if n is None or k is None else n * k)
+        for c, p, n in members for d, r, k in members
+        if c is not None and c == d and frozenset((p, r)) in links
+    )
+    found = ownership.co_owner_pairs(
+        spark.createDataFrame(members, f"{S.COMPANY} string, {S.TAXPAYER} string, n_paths bigint"),
+        spark.createDataFrame([(f"C{a}", f"C{b}") for a, b in related], f"{S.TAXPAYER} string, {S.RELATIVE} string"),
+    )
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    assert sorted((tuple(None if v is None else v if isinstance(v, str) else int(v) for v in r) for r in found.collect()), key=key) == sorted(want, key=key)
