@@ -230,7 +230,7 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
     """The tree of all texts of ``docs``; its tables lie in the checkpoint folder."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    space = Workspace(spark, "suffix_tree")
+    space = Workspace(spark, "suffix_tree", many_keys=True)
     texts = docs.select(column(text_col).cast("string"))
 
     words, seen = space.materialize_observed(
@@ -267,6 +267,7 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
             ),
             f"tried-{level}",
         )
+        space.drop(f"followers-{level}", f"totals-{level - 1}")
         lower = shares.select(F.col("key").alias("suffix"), F.col("lp").alias("lower"))
         p = (F.col("n") - 1) / F.col("total") + F.col("left") * F.pow(F.lit(10.0), "lower")
         key = F.xxhash64("context", "suffix").alias("key")
@@ -296,7 +297,7 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
             ),
             f"retained-{level}",
         )
-        space.drop(f"followers-{level}", f"tried-{level}", f"entries-{level}", f"gained-{level}")
+        space.drop(f"tried-{level}", f"entries-{level}", f"gained-{level}")
         parts[level - 1].append(states.select(F.col("context").alias("key"), F.col("left").alias("w")))
         parts.append([retained.select("key", "w")])
         tree.states.append(states)
@@ -311,9 +312,7 @@ def fit(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, penalty: fl
         for x in more:
             rows = rows.unionByName(x.select("key", "w", nothing))
         tree.weights.append(space.materialize(rows, f"weights-{level}"))
-    for level in range(1, depth + 1):
-        space.drop(f"totals-{level}", f"retained-{level}")
-    space.drop("words")
+    space.drop("words", *[f"retained-{level}" for level in range(1, depth + 1)])
     return tree
 
 
@@ -465,7 +464,7 @@ def _weighed(level: int, root: float):
 def score(docs: DataFrame, tree: SuffixTree, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``row`` (the kept columns), ``n_tokens``, ``n_known``, ``base_score`` and ``score`` (log10)."""
     spark = docs.sparkSession
-    space = Workspace(spark, "suffix_tree_scores")
+    space = Workspace(spark, "suffix_tree_scores", many_keys=True)
     keep = list(docs.columns if keep is None else keep)
     stored = space.materialize(
         docs.select(

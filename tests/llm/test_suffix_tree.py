@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshscope.llm import registry, suffix_tree, tokens
+from meshscope.plans.iterate import Workspace
 
 END = object()
 
@@ -157,3 +158,19 @@ def test_query(spark, make_docs, tmp_path):
         )
     held = [got[i] for i in out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
+
+
+def test_tables_go_when_no_longer_read(make_docs, monkeypatch):
+    """While the pairs of the last level are joined, the counts of the level before are gone."""
+    there = {}
+    written = Workspace.materialize
+
+    def noted(self, df, *parts):
+        names = ("totals-1", "followers-1", "followers-2", "tried-2", "retained-1", "words")
+        there[parts[0]] = {n for n in names if self.exists(self.path(n))}
+        return written(self, df, *parts)
+
+    monkeypatch.setattr(Workspace, "materialize", noted)
+    tree = suffix_tree.fit(make_docs(list(enumerate(some_texts(random.Random(5), 60)))), depth=2, penalty=0.1)
+    assert there["entries-2"] == {"tried-2", "retained-1", "words"}
+    assert tree.weights[2].count() and not tree.space.exists(tree.space.path("retained-2"))
